@@ -2,10 +2,31 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat
-from ._shared import table
+from . import chat, secret_scan, simhash, source_mix
+from ._shared import materialize, table
+
+
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.array("source").alias("sources"), source_mix.words(F.col("text")).alias("size"))
+    docs = materialize(docs, "sizes")
+    sizes = {r["source"]: r["n"] for r in docs.groupBy("source").agg(F.sum("size").alias("n")).collect()}
+    quotas = source_mix.targets(sizes)
+    order = source_mix.by_code_point(sizes)
+    known = pa.table({"of": pa.array(order, pa.string()), "source_size": pa.array([sizes[s] for s in order], pa.int64()), "target": pa.array([quotas[s] for s in order], pa.float64())})
+    mixed = source_mix.mix(docs, quotas)
+    return mixed.join(spark.createDataFrame(known), F.col("of").eqNullSafe(F.col("source"))).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.group(table(spark, sf_dir, "documents")).select("doc_id", simhash.hexed("fp").alias("fingerprint"), "component_id")
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +52,9 @@ FROM rows GROUP BY conv_id
 
 def queries() -> dict:
     return {
+        "op2_source_mix": op2_source_mix,
+        "op3_simhash": op3_simhash,
+        "op4_secret_scan": op4_secret_scan,
         "op10_chat_format": op10_chat_format,
     }
 
