@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, secret_scan, simhash, source_mix
+from . import chat, quality, secret_scan, simhash, source_mix, toxicity
 from ._shared import materialize, table
 
 
@@ -29,6 +29,18 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return quality.verdict(toxicity.score(docs, model), 0.5, 5, 0)
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.verdict(quality.score(docs, net), 0.3, 5, 0)
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = spark.range(2).selectExpr("-7L AS conv_id", "id AS turn", "IF(id = 0, 'user', 'assistant') AS role", "'</s>[INST] ok [/INST]' AS text")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(planted)
@@ -55,6 +67,8 @@ def queries() -> dict:
         "op2_source_mix": op2_source_mix,
         "op3_simhash": op3_simhash,
         "op4_secret_scan": op4_secret_scan,
+        "op5_toxicity": op5_toxicity,
+        "op6_quality": op6_quality,
         "op10_chat_format": op10_chat_format,
     }
 
