@@ -6,18 +6,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, quality, secret_scan, simhash, source_mix, toxicity
-from ._shared import materialize, table
+from . import chat, decontaminate, langid, quality, secret_scan, simhash, source_mix, suffix_dedup, toxicity
+from ._shared import fold, materialize, table
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.array("source").alias("sources"), source_mix.words(F.col("text")).alias("size"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.array("source").alias("_sources"), source_mix.words(F.col("text")).alias("_size"))
     docs = materialize(docs, "sizes")
-    sizes = {r["source"]: r["n"] for r in docs.groupBy("source").agg(F.sum("size").alias("n")).collect()}
+    sizes = {r["source"]: r["n"] for r in docs.groupBy("source").agg(F.sum("_size").alias("n")).collect()}
     quotas = source_mix.targets(sizes)
     order = source_mix.by_code_point(sizes)
     known = pa.table({"of": pa.array(order, pa.string()), "source_size": pa.array([sizes[s] for s in order], pa.int64()), "target": pa.array([quotas[s] for s in order], pa.float64())})
-    mixed = source_mix.mix(docs, quotas)
+    mixed = source_mix.mix(docs, quotas).apply(docs.withColumn("size", F.col("_size")))
     return mixed.join(spark.createDataFrame(known), F.col("of").eqNullSafe(F.col("source"))).select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -41,6 +41,21 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdict(quality.score(docs, net), 0.3, 5, 0)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("start").alias("first_word"), F.col("end").alias("end_word"), (F.col("end") - F.col("start")).alias("n_words"))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.train(docs))
+    return found.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = spark.range(2).selectExpr("-7L AS conv_id", "id AS turn", "IF(id = 0, 'user', 'assistant') AS role", "'</s>[INST] ok [/INST]' AS text")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(planted)
@@ -69,6 +84,9 @@ def queries() -> dict:
         "op4_secret_scan": op4_secret_scan,
         "op5_toxicity": op5_toxicity,
         "op6_quality": op6_quality,
+        "op7_suffix_dedup": op7_suffix_dedup,
+        "op8_decontaminate": op8_decontaminate,
+        "op9_language_id": op9_language_id,
         "op10_chat_format": op10_chat_format,
     }
 

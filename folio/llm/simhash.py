@@ -182,5 +182,16 @@ def group(docs: DataFrame, width: int = 3, seed: int = 42, radius: int = 3, tile
     return joined.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+def dedup(docs: DataFrame, **rules) -> DataFrame:
+    """The row of least doc_id of each group of docs, and rows without a doc_id.
+
+    Rows of an equal doc_id are one document, of which the least row stays.
+    """
+    kept = group(docs, **rules).where("doc_id = component_id").select("doc_id").distinct()
+    rest = [c for c in docs.columns if c != "doc_id"]
+    one = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("_row")).select("doc_id", "_row.*").select(docs.columns)
+    return one.union(docs.where("doc_id IS NULL"))
+
+
 def hexed(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

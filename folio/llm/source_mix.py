@@ -13,7 +13,7 @@ Defined cases: a null or empty sources array or text is allowed (no source: not
 taken; no words: taken 0); a null source is a source of its own, ordered last;
 repeated rows are documents of their own and share their hash; a null doc_id
 has a fixed hash; an empty table gives an empty table; extra columns stay in
-place as far as the caller keeps them.
+place in apply().
 """
 
 from __future__ import annotations
@@ -99,17 +99,51 @@ def flow(patterns: dict, quotas: dict, most: int = 3) -> dict:
     return {k: v for k, v in routes.items() if v}
 
 
-def mix(docs: DataFrame, quotas: dict, most: int = 3, seed: int = 42, rounds: int = 5) -> DataFrame:
-    """docs(doc_id, size, sources array<string>, ...) with taken: the words that the mix takes of each row.
+class Plan:
+    """What mix() decides: whole passes for each pattern, and who is taken once more.
 
-    quotas: {source: words}. docs is read a few times, so give a written table.
+    A row is taken once more if its hash lies below its pattern's cut, or if it
+    is one of the few documents chosen to close the gap.
     """
-    keyed = docs.withColumns({
-        "_pattern": F.to_json(F.array_sort(F.array_distinct(F.coalesce("sources", F.expr("array()"))))),
-        "_u": F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 2 * _BITS)),
-        "size": F.coalesce("size", F.lit(0)).cast("long"),
-    })
-    sums = {r["_pattern"]: r["n"] for r in keyed.groupBy("_pattern").agg(F.sum("size").alias("n")).collect()}
+
+    def __init__(self, names: list[str], passes: list[int], cut, chosen: list[list], most: int, seed: int):
+        self.names, self.passes, self.cut, self.chosen, self.most, self.seed = names, passes, cut, chosen, most, seed
+
+    def keyed(self, rows: DataFrame) -> DataFrame:
+        """rows(doc_id, _size, _sources, ...) with the number of their pattern and their hash."""
+        index = pa.table({"_pattern": pa.array(self.names, pa.string()), "_p": pa.array(range(len(self.names)), pa.int32())})
+        rows = rows.withColumns({"_pattern": pattern(F.col("_sources")), "_u": F.pmod(F.xxhash64(F.lit(self.seed), "doc_id"), F.lit(1 << 2 * _BITS))})
+        return rows.join(rows.sparkSession.createDataFrame(index), "_pattern")
+
+    @staticmethod
+    def at(values) -> Column:
+        """The row's pattern's own value."""
+        return F.element_at(F.array(*(F.lit(int(v)) for v in values)), F.col("_p") + 1)
+
+    def is_chosen(self) -> Column:
+        marks = [f"{p}:{d}" for p, ds in enumerate(self.chosen) for d in ds]
+        return F.concat_ws(":", "_p", "doc_id").isin(marks) if marks else F.lit(False)
+
+    def apply(self, rows: DataFrame) -> DataFrame:
+        """rows(doc_id, _size, _sources, ...) with taken instead of the columns that begin with an underscore."""
+        if not self.names:
+            return rows.drop("_size", "_sources").withColumn("taken", F.lit(0).cast("long"))
+        extra = (F.col("_u") < self.at(self.cut)) | self.is_chosen()
+        passes = F.least(F.when(extra, 1).otherwise(0) + self.at(self.passes), F.lit(self.most))
+        return self.keyed(rows).withColumn("taken", (F.coalesce("_size", F.lit(0)) * passes).cast("long")).drop("_size", "_sources", "_pattern", "_p", "_u")
+
+
+def pattern(sources: Column) -> Column:
+    return F.to_json(F.array_sort(F.array_distinct(F.coalesce(sources, F.expr("cast(array() as array<string>)")))))
+
+
+def mix(rows: DataFrame, quotas: dict, most: int = 3, seed: int = 42, rounds: int = 5) -> Plan:
+    """The plan that takes about quotas[source] words of each source from rows(doc_id, _size, _sources array<string>).
+
+    rows is read a few times, so give a written table. No row is taken more than `most` times.
+    """
+    rows = rows.select("doc_id", F.coalesce("_size", F.lit(0)).cast("long").alias("_size"), "_sources")
+    sums = {r["p"]: r["n"] for r in rows.groupBy(pattern(F.col("_sources")).alias("p")).agg(F.sum("_size").alias("n")).collect()}
     names = sorted(sums)
     sets = [frozenset(json.loads(p)) for p in names]
     sizes = dict(zip(sets, (sums[p] for p in names), strict=True))
@@ -117,44 +151,31 @@ def mix(docs: DataFrame, quotas: dict, most: int = 3, seed: int = 42, rounds: in
     for (p, _), n in flow(sizes, {s: round(q) for s, q in quotas.items()}, most).items():
         taken[p] += n
     passes = [taken[p] // sizes[p] if sizes[p] else 0 for p in sets]
-    rest = np.array([taken[p] - k * sizes[p] for p, k in zip(sets, passes, strict=True)], np.int64)
-
-    index = pa.table({"_pattern": pa.array(names, pa.string()), "_p": pa.array(range(len(names)), pa.int32())})
-    keyed = keyed.join(docs.sparkSession.createDataFrame(index), "_pattern")
-    at = lambda values: F.element_at(F.array(*(F.lit(int(v)) for v in values)), F.col("_p") + 1)
+    left = np.array([taken[p] - k * sizes[p] for p, k in zip(sets, passes, strict=True)], np.int64)
+    plan = Plan(names, passes, np.zeros(len(names), np.int64), [[] for _ in names], most, seed)
+    if not names:
+        return plan
+    keyed = plan.keyed(rows)
     # the cut of each pattern's hash: coarse buckets, then those inside the coarse bucket that holds it
-    cut, left = np.zeros(len(names), np.int64), rest.copy()
-    for level in (1, 0) if names else ():
-        shift = level * _BITS
-        inside = keyed.where(F.col("_u").between(at(cut), at(cut) + ((1 << shift + _BITS) - 1)))
-        got = inside.groupBy("_p", F.shiftright("_u", shift).alias("bucket")).agg(F.sum("size").alias("n")).collect()
-        rows: dict = defaultdict(list)
-        for r in got:
-            rows[r["_p"]].append((r["bucket"], r["n"]))
+    for shift in (_BITS, 0):
+        inside = keyed.where(F.col("_u").between(plan.at(plan.cut), plan.at(plan.cut) + ((1 << shift + _BITS) - 1)))
+        sums_: dict = defaultdict(list)
+        for r in inside.groupBy("_p", F.shiftright("_u", shift).alias("bucket")).agg(F.sum("_size").alias("n")).collect():
+            sums_[r["_p"]].append((r["bucket"], r["n"]))
         for p in range(len(names)):
-            for bucket, n in sorted(rows[p]):
+            for bucket, n in sorted(sums_[p]):
                 if n > left[p]:
-                    cut[p] = bucket << shift
+                    plan.cut[p] = bucket << shift
                     break
                 left[p] -= n
             else:
-                cut[p] += 1 << shift + _BITS
-                # every bucket of this range is taken; an all-taken pattern has nothing left
-    chosen: list[list] = [[] for _ in names]
-    for turn in range(rounds + 1 if names else 0):  # the largest document that fits; at last one that may run over
-        gap = at(left) - F.col("size") if turn < rounds else F.abs(F.col("size") - at(left))
-        open_ = keyed.where((F.col("_u") >= at(cut)) & (F.col("size") > 0) & gap.between(F.lit(0), at(left) - 1))
-        if any(chosen):
-            open_ = open_.where(~F.concat_ws(":", "_p", "doc_id").isin([f"{p}:{d}" for p in range(len(names)) for d in chosen[p]]))
-        best = open_.groupBy("_p").agg(F.min(F.struct(gap.alias("gap"), "_u", "doc_id", "size")).alias("b")).collect()
+                plan.cut[p] += 1 << shift + _BITS
+    for turn in range(rounds + 1):  # the largest document that fits; at last one that may run over
+        room = plan.at(left)
+        gap = room - F.col("_size") if turn < rounds else F.abs(F.col("_size") - room)
+        open_ = keyed.where((F.col("_u") >= plan.at(plan.cut)) & (F.col("_size") > 0) & gap.between(F.lit(0), room - 1) & F.col("doc_id").isNotNull() & ~plan.is_chosen())
+        best = open_.groupBy("_p").agg(F.min(F.struct(gap.alias("gap"), "_u", "doc_id", "_size")).alias("b")).collect()
         for r in best:
-            p, b = r["_p"], r["b"]
-            if b["doc_id"] is not None:
-                chosen[p].append(b["doc_id"])
-                left[p] -= b["size"]
-        left = np.maximum(left, 0)
-    extra = F.col("_u") < at(cut) if names else F.lit(False)
-    if any(chosen):
-        extra = extra | F.concat_ws(":", "_p", "doc_id").isin([f"{p}:{d}" for p in range(len(names)) for d in chosen[p]])
-    more = F.least(F.when(extra, 1).otherwise(0) + (at(passes) if names else F.lit(0)), F.lit(most))
-    return keyed.withColumn("taken", (F.col("size") * more).cast("long")).select(*(c for c in docs.columns if c != "size"), "size", "taken")
+            plan.chosen[r["_p"]].append(r["b"]["doc_id"])
+            left[r["_p"]] = max(0, left[r["_p"]] - r["b"]["_size"])
+    return plan

@@ -66,25 +66,24 @@ class Model:
         self.words = frozenset(f for f in weights if not f.endswith("-"))
         self.begins = frozenset(f[:-1] for f in weights if f.endswith("-"))
 
-    def score(self, text: str) -> float:
-        if self.constant is not None:
-            return self.constant
+    def logit(self, text: str) -> float:
         words = set(_WORD.findall(text.lower()))
         known = [*(words & self.words), *(b + "-" for b in {w[:_BEGIN] for w in words if len(w) > _BEGIN} & self.begins)]
-        z = self.bias + sum(self.weights[f] for f in sorted(known))
-        return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
+        return self.bias + sum(self.weights[f] for f in sorted(known))
 
+    def score(self, text: str) -> float:
+        return self.constant if self.constant is not None else float(_sigmoid(self.logit(text)))
 
-def fit(texts: list[str], y: list[int], rate: float, steps: int = 250, penalty: float = 1.0, shrink: float = 1e-5, swaps: int = 2) -> Model:
-    """Logistic loss + penalty * squared score changes under swaps + shrink * squared weights."""
-    y_ = np.array(y)
-    if len(set(y)) < 2:
-        return Model({}, 0.0, rate)
-    found = [features(t or "") for t in texts]
+
+_sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+
+
+def _weights(texts: list[str], found: list[set[str]], y: np.ndarray, steps: int, penalty: float, shrink: float, swaps: int) -> Model:
+    """Balanced logistic loss + penalty * squared score changes under swaps + shrink * squared weights, by Adam."""
     ones = [Counter(), Counter()]
-    for f, k in zip(found, y, strict=True):
+    for f, k in zip(found, y.tolist(), strict=True):
         ones[k].update(f)
-    n = [int((y_ == k).sum()) for k in (0, 1)]
+    n = [int((y == k).sum()) for k in (0, 1)]
 
     def told(f: str) -> float:
         p, a, b = (ones[0][f] + ones[1][f]) / sum(n), ones[0][f] / n[0], ones[1][f] / n[1]
@@ -103,27 +102,64 @@ def fit(texts: list[str], y: list[int], rate: float, steps: int = 250, penalty:
         return out
 
     x = rows(found)
-    naming = [i for i, t in enumerate(texts) if t and _NAMES.search(t)]
+    naming = [i for i, t in enumerate(texts) if _NAMES.search(t)]
     pairs = [rows([features(swapped(texts[i], k)) for i in naming]) for k in range(1, swaps + 1)] if naming else []
     w = {"w": np.zeros(len(names), np.float32), "b": np.zeros(1, np.float32)}
     adam = Adam(w, 0.05)
-    balance = np.where(y_ == 1, 0.5 / n[1], 0.5 / n[0]).astype(np.float32)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+    balance = np.where(y == 1, 0.5 / n[1], 0.5 / n[0]).astype(np.float32)
     for step in range(steps):
         if step == steps * 2 // 3:
             adam.rate = 0.01
-        d = (sigmoid(x @ w["w"] + w["b"][0]) - y_) * balance
+        d = (_sigmoid(x @ w["w"] + w["b"][0]) - y) * balance
         g = {"w": x.T @ d + shrink * w["w"], "b": np.array([d.sum()], np.float32)}
         for other in pairs:
             own = x[naming]
-            p, q = sigmoid(own @ w["w"] + w["b"][0]), sigmoid(other @ w["w"] + w["b"][0])
+            p, q = _sigmoid(own @ w["w"] + w["b"][0]), _sigmoid(other @ w["w"] + w["b"][0])
             dp, dq = 2 * (p - q) * p * (1 - p), 2 * (p - q) * q * (1 - q)
             scale = penalty / (len(naming) * len(pairs))
             g["w"] = g["w"] + scale * (own.T @ dp - other.T @ dq)
             g["b"] = g["b"] + scale * (dp.sum() - dq.sum())
         adam.step(g)
+    return Model({f: float(v) for f, v in zip(names, w["w"], strict=True) if abs(v) > 1e-4}, float(w["b"][0]))
+
+
+def _scaling(z: np.ndarray, y: np.ndarray, rate: float) -> tuple[float, float]:
+    """Slope and offset that turn z into a probability where label 1 has the given rate (Newton's method)."""
+    n = [(y == k).sum() for k in (0, 1)]
+    weight = np.where(y == 1, rate / n[1], (1 - rate) / n[0]) * len(y)
+    goal = np.where(y == 1, (n[1] + 1) / (n[1] + 2), 1 / (n[0] + 2))
+    x, v = np.stack([z, np.ones_like(z)], 1), np.array([1.0, np.log(rate / (1 - rate))])
+    for _ in range(50):
+        p = _sigmoid(x @ v)
+        grad = x.T @ (weight * (p - goal)) + 0.1 * np.array([v[0] - 1, 0])
+        hess = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + 0.1 * np.eye(2)
+        step = np.linalg.solve(hess, grad)
+        v -= step * min(1.0, 2 / (np.abs(step).max() + 1e-12))
+        if np.abs(step).max() < 1e-8:
+            break
+    return max(float(v[0]), 0.1), float(v[1])
+
+
+def fit(texts: list[str], y: list[int], rate: float, steps: int = 200, penalty: float = 1.0, shrink: float = 1e-5, swaps: int = 2, parts: int = 4) -> Model:
+    """The weights of all rows, scaled by how the weights without a part of the rows score that part."""
+    texts, y_ = [t or "" for t in texts], np.array(y)
+    if len(set(y)) < 2:
+        return Model({}, 0.0, rate)
     rate = min(max(rate, 1e-6), 1 - 1e-6)
-    return Model({f: float(v) for f, v in zip(names, w["w"], strict=True) if abs(v) > 1e-4}, float(w["b"][0] + np.log(rate / (1 - rate))))
+    found, rule = [features(t) for t in texts], (steps, penalty, shrink, swaps)
+    model = _weights(texts, found, y_, *rule)
+    z, part_of = np.zeros(len(y)), np.zeros(len(y), int)
+    for k in (0, 1):
+        at = np.flatnonzero(y_ == k)
+        part_of[at] = np.arange(len(at)) % parts
+    for side in range(parts):
+        own, other = np.flatnonzero(part_of != side), np.flatnonzero(part_of == side)
+        if len(set(y_[own].tolist())) < 2 or not len(other):
+            return model
+        part = _weights([texts[i] for i in own], [found[i] for i in own], y_[own], *rule)
+        z[other] = [part.logit(texts[i]) for i in other]
+    slope, offset = _scaling(z, y_, rate)
+    return Model({f: slope * v for f, v in model.weights.items()}, slope * model.bias + offset)
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, left_out: int = 0, each: int = EACH) -> Model:
