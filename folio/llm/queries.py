@@ -6,10 +6,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, quality, secret_scan, simhash, source_mix, suffix_dedup, toxicity
+from . import chat, decontaminate, embedding_dedup, langid, quality, secret_scan, simhash, source_mix, suffix_dedup, toxicity
 from ._shared import fold, materialize, table
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.group(table(spark, sf_dir, "embeddings"))
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.array("source").alias("_sources"), source_mix.words(F.col("text")).alias("_size"))
     docs = materialize(docs, "sizes")
@@ -79,6 +83,7 @@ FROM rows GROUP BY conv_id
 
 def queries() -> dict:
     return {
+        "op1_embedding_dedup": op1_embedding_dedup,
         "op2_source_mix": op2_source_mix,
         "op3_simhash": op3_simhash,
         "op4_secret_scan": op4_secret_scan,
