@@ -1,4 +1,662 @@
-"""Queries over the version catalogue and the SQL that gives the same rows."""
+"""Queries over the version catalogue (folio.sources.testdata) and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folio.functions import similarity, text
+from folio.operators import catalogue as cat
+from folio.operators import changes, grouping, ingest, retention, vault
+from folio.plans.components import materialize
+from folio.schema import Catalogue
+from folio.sources import testdata as td
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+ASSET, PREFIX = 7, "/work/7/"
+
+
+def now() -> Column:
+    return F.lit(td.NOW).cast("timestamp_ntz")
+
+
+def query(sql: str | None = None):
+    """Register a function of the catalogue; its SQL stands on the same views."""
+
+    def register(f: Callable[[Catalogue], DataFrame]):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(td.catalogue(spark, sf_dir))
+        if sql is not None:
+            ORACLES[f.__name__] = f"{td.SQL_VIEWS}\n{sql}"
+        return f
+
+    return register
+
+
+def on_tables(sql: str | None = None, views: bool = True):
+    """Register a function of (spark, sf_dir)."""
+
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = f"{td.SQL_VIEWS}\n{sql}" if views else sql
+        return f
+
+    return register
+
+
+# --- works, versions, pictures ----------------------------------------------
+
+_LATEST = "(SELECT * FROM versions QUALIFY row_number() OVER (PARTITION BY asset_id ORDER BY observed_at DESC, id DESC) = 1)"
+_THUMB = "CASE WHEN {0} = 'ok' AND file_hash <> '' THEN '/thumb/' || file_hash ELSE '' END"
+
+
+@query(f"""
+SELECT a.id, a.name, a.updated_at, v.id AS version_id, v.file_hash, v.observed_at, coalesce(nv.n, 0) AS n_versions, coalesce(nf.n, 0) AS n_files,
+       coalesce(p.status, '') AS preview_status, CASE WHEN p.status = 'ok' THEN '/thumb/' || v.file_hash ELSE '' END AS thumb
+FROM assets a JOIN {_LATEST} v ON v.asset_id = a.id LEFT JOIN previews p ON p.file_hash = v.file_hash
+LEFT JOIN (SELECT asset_id, count(*) AS n FROM versions GROUP BY 1) nv ON nv.asset_id = a.id
+LEFT JOIN (SELECT asset_id, count(*) AS n FROM observed_files GROUP BY 1) nf ON nf.asset_id = a.id""")
+def asset_cards(c):
+    return cat.asset_cards(c)
+
+
+_NOTE = """CASE WHEN p.status = 'ok' AND p.alpha_flattened THEN 'Transparansi diratakan ke putih agar gambar kecilnya masuk anggaran ukuran.'
+  WHEN p.status = 'ok' THEN '' WHEN p.status = 'unsupported' THEN 'Format ini belum punya gambar kecil. Versinya tetap tersimpan utuh.'
+  WHEN p.status = 'failed' AND p.error <> '' THEN 'Gambar kecil gagal dibuat: ' || p.error
+  WHEN p.status = 'failed' THEN 'Gambar kecil gagal dibuat. Versinya tetap tersimpan utuh.' ELSE 'Gambar kecil belum dibuat.' END"""
+
+
+@query(f"""
+SELECT v.id, asset_id, v.file_hash, size, observed_at, content_present, pinned, p.status, p.width, p.height, {_NOTE} AS note
+FROM versions v LEFT JOIN previews p ON p.file_hash = v.file_hash""")
+def timeline(c):
+    return cat.timeline(c)
+
+
+@query(f"SELECT v.id, v.file_hash, v.observed_at, p.status, p.phash, p.bytes FROM versions v JOIN previews p ON p.file_hash = v.file_hash WHERE asset_id = {ASSET}")
+def previews_for_asset(c):
+    return cat.previews_for(c, ASSET).select("id", "file_hash", "observed_at", "status", "phash", "bytes")
+
+
+@query("SELECT DISTINCT v.file_hash FROM versions v WHERE NOT EXISTS (SELECT 1 FROM previews p WHERE p.file_hash = v.file_hash)")
+def hashes_without_preview(c):
+    return cat.hashes_without_preview(c)
+
+
+@query("""SELECT v.file_hash FROM versions v WHERE NOT EXISTS (SELECT 1 FROM previews p WHERE p.file_hash = v.file_hash)
+GROUP BY 1 ORDER BY min((observed_at, id)), file_hash LIMIT 25""")
+def hashes_without_preview_topk(c):
+    return cat.hashes_without_preview(c, 25)
+
+
+@query(f"SELECT id, asset_id, observed_at FROM {_LATEST}")
+def latest_version(c):
+    return cat.latest_version(c.versions).select("id", "asset_id", "observed_at")
+
+
+@query(f"SELECT * FROM versions WHERE asset_id = {ASSET}")
+def versions_of_asset(c):
+    return cat.versions_of(c.versions, ASSET)
+
+
+@query(f"SELECT * FROM assets WHERE id = {ASSET}")
+def asset_by_id(c):
+    return cat.one(c.assets, "id", ASSET)
+
+
+@query("SELECT * FROM versions WHERE id = 1")
+def version_by_id(c):
+    return cat.one(c.versions, "id", 1)
+
+
+@query("SELECT * FROM previews WHERE file_hash = sha256('4')")
+def preview_by_hash(c):
+    return c.previews.where(F.col("file_hash") == F.sha2(F.lit("4"), 256))
+
+
+@query("SELECT DISTINCT v.file_hash, coalesce(p.phash, '') AS phash FROM versions v LEFT JOIN previews p ON p.file_hash = v.file_hash")
+def preview_phash(c):
+    return cat.phash_of(c.previews, c.versions.select("file_hash").distinct())
+
+
+@query(f"SELECT v.id, CASE WHEN o.last_hash = v.file_hash THEN 'live' WHEN content_present THEN 'copy' ELSE 'gone' END AS opens FROM versions v LEFT JOIN observed_files o ON o.path = v.file_key")
+def version_opening(c):
+    return vault.opening(c.versions, c.observed_files)
+
+
+@query("SELECT id, file_hash, file_key, observed_at, content_present AS exportable, regexp_replace(regexp_extract(file_key, '[^/]*$'), '\\.[^.]*$', '') || ' (' || strftime(observed_at, '%Y-%m-%d %H.%M') || ').psd' AS export_name FROM versions")
+def export_names(c):
+    rows = vault.exportable(c.versions, c.versions.select("id"))
+    return rows.withColumn("export_name", text.export_name(F.col("file_key"), F.col("observed_at")))
+
+
+# --- tracked files -----------------------------------------------------------
+
+
+@query("SELECT * FROM observed_files")
+def tracked_files(c):
+    return cat.tracked(c.observed_files)
+
+
+@query(f"SELECT * FROM observed_files WHERE path LIKE '{PREFIX}%'")
+def files_under_prefix(c):
+    return cat.files_under(c.observed_files, PREFIX)
+
+
+@query("SELECT * FROM observed_files WHERE last_hash = sha256('17')")
+def files_by_hash(c):
+    return c.observed_files.where(F.col("last_hash") == F.sha2(F.lit("17"), 256)).orderBy("path")
+
+
+@query(f"SELECT * FROM observed_files WHERE asset_id = {ASSET}")
+def files_of_asset(c):
+    return cat.files_of_asset(c.observed_files, ASSET)
+
+
+@query("SELECT * FROM observed_files WHERE coalesce(last_verified_at, TIMESTAMP '1970-01-01') < TIMESTAMP '1998-08-20' ORDER BY coalesce(last_verified_at, TIMESTAMP '1970-01-01'), path LIMIT 50")
+def stale_verified_topk(c):
+    return cat.stale_verified(c.observed_files, F.lit("1998-08-20 00:00:00").cast("timestamp_ntz"), 50)
+
+
+_LISTING = """(SELECT path, CASE WHEN k % 7 = 0 THEN last_size + 1 ELSE last_size END AS size, CASE WHEN k % 11 = 0 THEN last_modified_at + INTERVAL 1 SECOND ELSE last_modified_at END AS mtime
+  FROM (SELECT *, CAST(split_part(path, '/', 5) AS BIGINT) AS k FROM observed_files) WHERE k % 6 <> 0)"""
+
+
+def _listing(c: Catalogue) -> DataFrame:
+    k = F.split("path", "/")[4].cast("long")
+    rows = c.observed_files.withColumn("k", k).where("k % 6 <> 0")
+    return rows.select("path", F.expr("IF(k % 7 = 0, last_size + 1, last_size)").alias("size"), F.expr("IF(k % 11 = 0, last_modified_at + INTERVAL 1 SECOND, last_modified_at)").alias("mtime"))
+
+
+@query(f"""
+SELECT l.path, l.size, l.mtime FROM {_LISTING} l LEFT JOIN observed_files o ON o.path = l.path
+WHERE o.path IS NULL OR l.size <> o.last_size OR l.mtime <> o.last_modified_at OR epoch(TIMESTAMP '{td.NOW}') - coalesce(epoch(o.last_verified_at), 0) >= 864000""")
+def worth_reading(c):
+    from folio.schema import IngestConfig
+
+    return ingest.worth_reading(_listing(c), c.observed_files, now(), IngestConfig(verify_every_s=864000))
+
+
+@query(f"SELECT o.* FROM observed_files o WHERE NOT EXISTS (SELECT 1 FROM {_LISTING} l WHERE l.path = o.path) AND EXISTS (SELECT 1 FROM watched_folders w WHERE starts_with(o.path, w.path || '/'))")
+def vanished(c):
+    return ingest.vanished(c.observed_files, _listing(c), c.watched_folders)
+
+
+@query(f"""
+SELECT '/new/' || o.path AS path, min(g.path) AS source
+FROM observed_files o JOIN (SELECT * FROM observed_files x WHERE NOT EXISTS (SELECT 1 FROM {_LISTING} l WHERE l.path = x.path)) g ON g.last_hash = o.last_hash
+GROUP BY 1""")
+def rename_matches(c):
+    new = c.observed_files.select(F.concat(F.lit("/new/"), "path").alias("path"), F.col("last_hash").alias("file_hash"))
+    return ingest.rename_sources(new, c.observed_files, _listing(c))
+
+
+_READ = f"""(SELECT path, size, mtime, CASE WHEN size % 3 = 0 THEN sha256(path) ELSE last_hash END AS file_hash, size % 10 <> 7 AS still_same
+  FROM (SELECT l.*, o.last_hash FROM {_LISTING} l JOIN observed_files o ON o.path = l.path)
+  UNION ALL SELECT '/new/' || path, last_size, last_modified_at, last_hash, true FROM observed_files WHERE last_size % 4 = 0)"""
+
+
+@query(f"""
+, gone AS (SELECT * FROM observed_files x WHERE NOT EXISTS (SELECT 1 FROM {_LISTING} l WHERE l.path = x.path)),
+src AS (SELECT path, source FROM (SELECT r.path, (SELECT min(g.path) FROM gone g WHERE g.last_hash = r.file_hash) AS source FROM {_READ} r
+        WHERE still_same AND NOT EXISTS (SELECT 1 FROM observed_files o WHERE o.path = r.path)) WHERE source IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source ORDER BY path) = 1)
+SELECT r.path, CASE WHEN NOT still_same THEN 'moved' WHEN o.last_hash = r.file_hash THEN 'verified' WHEN o.path IS NOT NULL THEN 'new_version' WHEN s.source IS NOT NULL THEN 'renamed' ELSE 'new_asset' END AS outcome,
+       coalesce(o.asset_id, so.asset_id) AS asset_id, s.source
+FROM {_READ} r LEFT JOIN observed_files o ON o.path = r.path LEFT JOIN src s ON s.path = r.path LEFT JOIN observed_files so ON so.path = s.source""")
+def scan_outcomes(c):
+    listing = _listing(c)
+    own = listing.join(c.observed_files.select("path", "last_hash"), "path")
+    read = own.select("path", "size", "mtime", F.when(F.col("size") % 3 == 0, F.sha2("path", 256)).otherwise(F.col("last_hash")).alias("file_hash"), (F.col("size") % 10 != 7).alias("still_same"))
+    new = c.observed_files.where("last_size % 4 = 0").select(F.concat(F.lit("/new/"), "path").alias("path"), F.col("last_size").alias("size"), F.col("last_modified_at").alias("mtime"), F.col("last_hash").alias("file_hash"), F.lit(True).alias("still_same"))
+    return ingest.classify(read.union(new), c.observed_files, listing).select("path", "outcome", "asset_id", "source")
+
+
+@query(f"SELECT count(*) FILTER (k % 2 = 0) AS new_version, count(*) FILTER (k % 2 = 1) AS verified, CAST(0 AS BIGINT) AS new_asset, CAST(0 AS BIGINT) AS renamed, CAST(0 AS BIGINT) AS moved, count(*) FILTER (k % 2 = 0) > 0 AS changed FROM paths")
+def scan_summary(c):
+    outcome = F.when(F.split("path", "/")[4].cast("long") % 2 == 0, "new_version").otherwise("verified")
+    return ingest.changed_catalogue(ingest.scan_summary(c.observed_files.select("path", outcome.alias("outcome"))))
+
+
+@query("SELECT * FROM watched_folders")
+def watched_folders(c):
+    return cat.watched(c.watched_folders)
+
+
+# --- tickets -----------------------------------------------------------------
+
+
+@query(f"SELECT t.* FROM tickets t JOIN versions v ON v.id = t.version_id WHERE v.asset_id = {ASSET}")
+def tickets_for_asset(c):
+    return cat.tickets_for(c, ASSET)
+
+
+@query("SELECT DISTINCT v.file_hash FROM tickets t JOIN versions v ON v.id = t.version_id WHERE t.status <> 'closed'")
+def open_ticket_hashes(c):
+    return cat.hashes_with_open_ticket(c)
+
+
+@query("SELECT v.* FROM versions v WHERE EXISTS (SELECT 1 FROM tickets t WHERE t.version_id = v.id AND status <> 'closed')")
+def versions_with_open_ticket(c):
+    return cat.versions_with_open_ticket(c)
+
+
+@query("SELECT t.id, v.asset_id FROM tickets t JOIN versions v ON v.id = t.version_id")
+def ticket_assets(c):
+    return cat.asset_of_ticket(c)
+
+
+_AGE = f"(epoch(TIMESTAMP '{td.NOW}') - epoch(t.created_at))"
+
+
+@query(f"""
+SELECT t.id, t.version_id, v.asset_id, coalesce(a.name, '') AS asset_name, t.direction, t.status, t.note, t.who, t.created_at, regexp_extract(v.source_path, '[^/]*$') AS file_name,
+       CASE WHEN age < 3600 THEN 'baru saja' WHEN age < 86400 THEN CAST(age // 3600 AS BIGINT) || ' jam' WHEN age // 86400 = 1 THEN 'sehari' ELSE CAST(age // 86400 AS BIGINT) || ' hari' END AS age,
+       CAST(age // 86400 AS BIGINT) AS age_days, CASE WHEN p.status = 'ok' THEN '/thumb/' || v.file_hash ELSE '' END AS thumb
+FROM (SELECT *, CAST(greatest({_AGE}, 0) AS BIGINT) AS age FROM tickets t) t JOIN versions v ON v.id = t.version_id LEFT JOIN assets a ON a.id = v.asset_id LEFT JOIN previews p ON p.file_hash = v.file_hash""")
+def ticket_views(c):
+    return cat.ticket_views(c, now())
+
+
+@query("SELECT * FROM tickets WHERE status = 'open' AND direction = 'waiting_on_them'")
+def waiting_on_them(c):
+    return cat.open_tickets(c.tickets, "waiting_on_them")
+
+
+@query("SELECT * FROM tickets WHERE status = 'open' AND direction = 'waiting_on_me'")
+def waiting_on_me(c):
+    return cat.open_tickets(c.tickets, "waiting_on_me")
+
+
+@query("SELECT * FROM tickets WHERE status = 'maybe_done'")
+def review_inbox(c):
+    return cat.tickets_by_status(c.tickets, "maybe_done")
+
+
+@query("SELECT t.id, n.observed_at AS flagged_at FROM tickets t JOIN versions v ON v.id = t.version_id JOIN versions n ON n.asset_id = v.asset_id AND n.id > v.id QUALIFY row_number() OVER (PARTITION BY t.id ORDER BY n.id) = 1")
+def ticket_flagging(c):
+    return changes.flags_of_history(c.versions, c.tickets)
+
+
+@query("""
+, new AS (SELECT * FROM versions WHERE id % 5 = 0), old AS (SELECT * FROM versions WHERE id % 5 <> 0), t AS (SELECT * FROM tickets WHERE version_id % 5 <> 0)
+SELECT t.id, CASE WHEN t.status = 'open' AND n.at IS NOT NULL THEN 'maybe_done' ELSE t.status END AS status, CASE WHEN t.status = 'open' AND n.at IS NOT NULL THEN n.at ELSE t.flagged_at END AS flagged_at
+FROM t JOIN old v ON v.id = t.version_id LEFT JOIN (SELECT asset_id, arg_min(observed_at, id) AS at FROM new GROUP BY 1) n ON n.asset_id = v.asset_id""")
+def ticket_flagging_on_insert(c):
+    new, old = c.versions.where("id % 5 = 0"), c.versions.where("id % 5 <> 0")
+    return changes.flag_tickets(c.tickets.where("version_id % 5 <> 0"), old, new).select("id", "status", "flagged_at")
+
+
+@query(f"SELECT id, CASE WHEN id % 2 = 0 AND id = 6 THEN 'closed' ELSE status END AS status, CASE WHEN id = 6 THEN TIMESTAMP '{td.NOW}' ELSE closed_at END AS closed_at, flagged_at FROM tickets")
+def ticket_closed(c):
+    return changes.set_ticket_status(c.tickets, 6, "closed", now()).select("id", "status", "closed_at", "flagged_at")
+
+
+# --- counts ------------------------------------------------------------------
+
+
+@query("""
+SELECT (SELECT count(*) FROM assets) AS assets, (SELECT count(*) FROM versions) AS versions, (SELECT count(*) FROM tickets WHERE status <> 'closed') AS open_tickets,
+       (SELECT count(*) FROM tickets WHERE status = 'maybe_done') AS to_review, (SELECT count(*) FROM watched_folders) AS folders, CAST(0 AS BIGINT) AS problems""")
+def status_summary(c):
+    return cat.status_summary(c)
+
+
+@query("SELECT (SELECT CAST(sum(size * refcount) AS BIGINT) FROM files) AS logical_bytes, (SELECT CAST(sum(size) AS BIGINT) FROM chunks) AS stored_bytes")
+def dedup_savings(c):
+    return cat.dedup_savings(c.files, c.chunks)
+
+
+# --- content store -----------------------------------------------------------
+
+
+@query("SELECT chunk_hash AS hash, count(*) AS refcount FROM file_chunks GROUP BY 1")
+def chunk_refcounts(c):
+    return vault.chunk_refcounts(c.file_chunks)
+
+
+@query("""
+, wrong AS (SELECT hash, CASE WHEN CAST(hash AS BIGINT) % 9 = 0 THEN refcount + 1 ELSE refcount END AS recorded FROM chunks WHERE CAST(hash AS BIGINT) % 13 <> 0),
+n AS (SELECT chunk_hash AS hash, count(*) AS counted FROM file_chunks GROUP BY 1)
+SELECT coalesce(w.hash, n.hash) AS hash, coalesce(recorded, 0) AS recorded, coalesce(counted, 0) AS counted FROM wrong w FULL JOIN n ON n.hash = w.hash WHERE coalesce(recorded, 0) <> coalesce(counted, 0)""")
+def wrong_refcounts(c):
+    off = c.chunks.where(F.col("hash").cast("long") % 13 != 0).withColumn("refcount", F.col("refcount") + F.when(F.col("hash").cast("long") % 9 == 0, 1).otherwise(0))
+    return vault.wrong_refcounts(off, c.file_chunks)
+
+
+_RELEASED = """, gone AS (SELECT hash FROM files WHERE refcount = 1 AND CAST(hash AS BIGINT) % 2 = 0),
+after AS (SELECT c.hash, c.size, c.refcount - coalesce(n, 0) AS refcount FROM chunks c LEFT JOIN
+  (SELECT chunk_hash, count(*) AS n FROM file_chunks WHERE file_hash IN (SELECT hash FROM gone) GROUP BY 1) d ON d.chunk_hash = c.hash)"""
+
+
+def _released(c: Catalogue) -> dict[str, DataFrame]:
+    return vault.release(c.files, c.chunks, c.file_chunks, c.files.where(F.col("hash").cast("long") % 2 == 0).select("hash"))
+
+
+@query(f"{_RELEASED} SELECT * FROM after")
+def release_chunks(c):
+    return _released(c)["chunks"]
+
+
+@query("SELECT hash, size, CASE WHEN CAST(hash AS BIGINT) % 2 = 0 THEN refcount - 1 ELSE refcount END AS refcount FROM files WHERE NOT (refcount = 1 AND CAST(hash AS BIGINT) % 2 = 0)")
+def release_files(c):
+    return _released(c)["files"]
+
+
+@query(f"{_RELEASED} SELECT count(*) AS chunks, CAST(coalesce(sum(size), 0) AS BIGINT) AS bytes FROM after WHERE refcount = 0")
+def gc_stats(c):
+    return vault.collect_garbage(_released(c)["chunks"])[2]
+
+
+@query("SELECT CAST(k AS VARCHAR) AS hash, k AS size FROM range(0, 100000, 7) t(k) WHERE CAST(k AS VARCHAR) NOT IN (SELECT hash FROM chunks)")
+def orphan_blobs(c):
+    disk = c.chunks.sparkSession.range(0, 100000, 7).select(F.col("id").cast("string").alias("hash"), F.col("id").alias("size"))
+    return vault.orphans(disk, c.chunks)
+
+
+@query("SELECT CAST(k AS VARCHAR) AS hash FROM range(0, 60000, 5) t(k) WHERE CAST(k AS VARCHAR) IN (SELECT hash FROM files)")
+def stored_hashes(c):
+    return vault.exists(c.files, c.files.sparkSession.range(0, 60000, 5).select(F.col("id").cast("string").alias("hash")))
+
+
+@on_tables("SELECT CAST(o_custkey AS VARCHAR) AS hash, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN -1 ELSE 1 END) AS BIGINT) AS refcount FROM orders GROUP BY 1", views=False)
+def file_refcounts(spark, sf_dir):
+    log = td.table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("hash"), F.expr("IF(o_orderstatus = 'F', -1, 1)").alias("delta"))
+    return vault.file_refcounts(log)
+
+
+@on_tables("SELECT sha256(text) AS hash, CAST(any_value(octet_length(encode(text))) AS BIGINT) AS size, count(*) AS refcount FROM documents WHERE text IS NOT NULL GROUP BY 1", views=False)
+def stored_contents(spark, sf_dir):
+    contents = td.table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.encode("text", "UTF-8").alias("content"))
+    blank = spark.createDataFrame([], "hash string, size long, refcount long")
+    nothing = spark.createDataFrame([], "file_hash string, idx int, chunk_hash string")
+    return vault.store(contents, blank, blank, nothing, blank)["files"]
+
+
+@on_tables("SELECT sha256(text) AS file_hash, CAST(any_value(octet_length(encode(text))) AS BIGINT) AS bytes, true AS whole FROM documents WHERE text IS NOT NULL AND text <> '' GROUP BY 1", views=False)
+def chunk_round_trip(spark, sf_dir):
+    """Every text cut into small chunks, put together again and hashed."""
+    contents = td.table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.encode("text", "UTF-8").alias("content")).distinct()
+    pieces = vault.chunked(contents, least=256, target=1024, most=4096, strict=12, lax=8)
+    whole = pieces.groupBy("file_hash").agg(F.sort_array(F.collect_list(F.struct("idx", "content"))).alias("parts"), F.sum("size").alias("bytes"))
+    joined = F.aggregate("parts", F.lit(b"").cast("binary"), lambda s, x: F.concat(s, x["content"]))
+    return whole.select("file_hash", "bytes", (F.sha2(joined, 256) == F.col("file_hash")).alias("whole"))
+
+
+@on_tables("SELECT sha256(text) AS hash, CASE WHEN bool_or(doc_id % 3 = 0) THEN 'ok' ELSE 'missing' END AS state, CAST(CASE WHEN bool_or(doc_id % 3 = 0) THEN any_value(octet_length(encode(text))) END AS BIGINT) AS bytes FROM documents WHERE text IS NOT NULL GROUP BY 1", views=False)
+def restore_states(spark, sf_dir):
+    docs = td.table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.encode("text", "UTF-8").alias("content"))
+    blank = spark.createDataFrame([], "hash string, size long, refcount long")
+    nothing = spark.createDataFrame([], "file_hash string, idx int, chunk_hash string")
+    made = vault.store(materialize(docs.where("doc_id % 3 = 0"), "contents"), blank, blank, nothing, blank, least=256, target=1024, most=4096, strict=12, lax=8)
+    got = vault.restore(made["files"], made["file_chunks"], made["chunk_data"], docs.select(F.sha2("content", 256).alias("hash")).distinct())
+    return got.select("hash", "state", F.octet_length("content").cast("long").alias("bytes"))
+
+
+# --- scalar functions --------------------------------------------------------
+
+_NORMAL = r"""
+, stems AS (SELECT DISTINCT path, regexp_replace(regexp_extract(path, '[^/]*$'), '\.[^./]*$', '') AS stem FROM {0}),
+n1 AS (SELECT *, regexp_replace(replace(lower(stem), '_', '-'), '\(\s*\d+\s*\)', ' ', 'g') AS n FROM stems),
+n2 AS (SELECT path, stem, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(n,
+   '\b\d{{4}}[-_.]\d{{2}}[-_.]\d{{2}}\b', ' ', 'g'), '\b\d{{2}}[-_.]\d{{2}}[-_.]\d{{4}}\b', ' ', 'g'), '\b\d{{8}}\b', ' ', 'g'), '\b\d{{6}}\b', ' ', 'g'),
+   '\b\d{{1,2}}[-_.]\d{{1,2}}[-_.]\d{{2}}\b', ' ', 'g'), '\b\d{{2}}[-_.]\d{{2}}[-_.]\d{{2}}\b', ' ', 'g') AS n FROM n1),
+n3 AS (SELECT path, stem, regexp_replace(regexp_replace(n, '[\s_\-.]+', ' ', 'g'), '\b(?:v|ver|versi|rev|revisi|r)\s*[-_.]?\s*\d+\b', ' ', 'g') AS n FROM n2),
+normal AS (SELECT path, CASE WHEN len(words) > 0 THEN array_to_string(words, ' ') ELSE lower(trim(regexp_replace(stem, '[\s_\-.]+', ' ', 'g'))) END AS name
+  FROM (SELECT path, stem, list_filter(string_split(trim(regexp_replace(n, '\s+', ' ', 'g')), ' '), lambda w: w <> '' AND w NOT IN ({1})) AS words FROM n3))
+"""
+_NOISE = ", ".join(f"'{w}'" for w in text.NOISE_WORDS)
+_URLS = "(SELECT url AS path FROM pages)"
+
+
+@query(f"{_NORMAL.format('observed_files', _NOISE)} SELECT path, name FROM normal")
+def normalized_names(c):
+    return c.observed_files.select("path", text.normalized_name(F.col("path")).alias("name"))
+
+
+@on_tables(f"{_NORMAL.format(_URLS, _NOISE)} SELECT path, name FROM normal")
+def normalized_urls(spark, sf_dir):
+    return td.table(spark, sf_dir, "pages").select(F.col("url").alias("path")).distinct().withColumn("name", text.normalized_name(F.col("path")))
+
+
+_SIM = "CASE WHEN {0} = {1} THEN 1.0::DOUBLE WHEN {0} = '' OR {1} = '' THEN 0.0 ELSE greatest(0.0, 1 - CAST(levenshtein({0}, {1}) AS DOUBLE) / greatest(octet_length(encode({0})), octet_length(encode({1})))) END"
+
+
+@on_tables(f"SELECT a.p_name AS a, b.p_name AS b, {_SIM.format('a.p_name', 'b.p_name')} AS similarity FROM (SELECT DISTINCT p_name FROM part) a JOIN (SELECT DISTINCT p_name FROM part) b ON a.p_name < b.p_name", views=False)
+def name_similarity(spark, sf_dir):
+    names = td.table(spark, sf_dir, "part").select("p_name").distinct()
+    a, b = names.withColumnRenamed("p_name", "a"), names.withColumnRenamed("p_name", "b")
+    return a.join(b, F.col("a") < F.col("b")).withColumn("similarity", similarity.name_similarity(F.col("a"), F.col("b")))
+
+
+@on_tables("SELECT event_id, CASE WHEN gap >= 28800e6 THEN 0.0::DOUBLE ELSE 1 - CAST(gap AS DOUBLE) / 28800e6 END AS closeness FROM (SELECT event_id, abs(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) AS gap FROM events) WHERE gap IS NOT NULL", views=False)
+def time_closeness(spark, sf_dir):
+    from pyspark.sql.window import Window
+
+    before = F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    rows = td.table(spark, sf_dir, "events").select("event_id", "ts", before.alias("before")).where("before IS NOT NULL")
+    return rows.select("event_id", similarity.time_closeness(F.col("ts"), F.col("before"), 28800).alias("closeness"))
+
+
+@on_tables("SELECT vec_id, phash FROM hashes")
+def phash_bits(spark, sf_dir):
+    return td.grids(spark, sf_dir).select("vec_id", similarity.grid_phash(F.col("grid"), F.col("mean")).alias("phash"))
+
+
+_XOR = "bit_count(xor(a.bits, b.bits))"
+
+
+@on_tables(f"""
+, bits AS (SELECT vec_id, CAST(('0x' || phash) AS UBIGINT) AS bits FROM hashes)
+SELECT a.vec_id AS a, b.vec_id AS b, CAST({_XOR} AS INTEGER) AS distance FROM bits a JOIN bits b ON a.vec_id < b.vec_id WHERE {_XOR} <= 20""")
+def hamming_pairs(spark, sf_dir):
+    hashes = td.grids(spark, sf_dir).select("vec_id", similarity.phash_bits(similarity.grid_phash(F.col("grid"), F.col("mean"))).alias("bits"))
+    hashes = materialize(hashes, "bits")
+    a, b = hashes.select(F.col("vec_id").alias("a"), F.col("bits").alias("x")), hashes.select(F.col("vec_id").alias("b"), F.col("bits").alias("y"))
+    return a.join(b, F.col("a") < F.col("b")).select("a", "b", similarity.hamming_bits(F.col("x"), F.col("y")).alias("distance")).where("distance <= 20")
+
+
+@on_tables("SELECT d AS distance, CASE WHEN d <= 10 THEN 1.0::DOUBLE WHEN d >= 26 THEN 0.0 ELSE 1 - CAST(d - 10 AS DOUBLE) / 16 END AS closeness FROM range(-1, 65) t(d)", views=False)
+def image_closeness(spark, sf_dir):
+    return spark.range(-1, 65).select(F.col("id").alias("distance"), similarity.image_closeness(F.col("id"), 10, 26).alias("closeness"))
+
+
+@query("""
+, d AS (SELECT path, regexp_replace(path, '/[^/]*$', '') AS dir FROM observed_files)
+SELECT a.path AS a, b.path AS b, a.dir = b.dir OR starts_with(a.dir, b.dir || '/') OR starts_with(b.dir, a.dir || '/') AS same
+FROM d a JOIN (SELECT path, dir FROM d UNION ALL SELECT dir || '/arsip/x.psd', dir || '/arsip' FROM d) b ON split_part(a.path, '/', 5) = split_part(b.path, '/', 5) OR (split_part(a.path, '/', 3) = '7' AND split_part(b.path, '/', 3) = '7')""")
+def folder_tree(c):
+    paths = c.observed_files.select("path")
+    both = paths.union(paths.select(F.concat(text.dir_name(F.col("path")), F.lit("/arsip/x.psd"))))
+    part = lambda col, n: F.split(col, "/")[n]
+    a, b = paths.withColumnRenamed("path", "a"), both.withColumnRenamed("path", "b")
+    near = a.join(b, part("a", 4) == part("b", 4)).union(a.where(part("a", 2) == "7").join(b.where(part("b", 2) == "7"), part("a", 4) != part("b", 4)))
+    return near.withColumn("same", text.same_folder_tree(F.col("a"), F.col("b")))
+
+
+@on_tables("SELECT url AS path, regexp_extract(url, '[^/]*$') AS last_part, CASE WHEN regexp_extract(url, '[^/]*$') = '' THEN url ELSE regexp_extract(url, '[^/]*$') END AS ui_name, replace(regexp_replace(url, '/[^/]*$', ''), '/', '\\') AS ui_dir FROM pages", views=False)
+def path_parts(spark, sf_dir):
+    u = F.col("url")
+    return td.table(spark, sf_dir, "pages").select(u.alias("path"), text.last_part(u).alias("last_part"), text.ui_base_name(u).alias("ui_name"), text.ui_dir_name(u).alias("ui_dir"))
+
+
+@on_tables("SELECT id, CASE WHEN id < 3600 THEN 'baru saja' WHEN id < 86400 THEN (id // 3600) || ' jam' WHEN id // 86400 = 1 THEN 'sehari' ELSE (id // 86400) || ' hari' END AS age, id // 86400 AS days FROM range(0, 4000000, 1777) t(id)", views=False)
+def age_text(spark, sf_dir):
+    return spark.range(0, 4000000, 1777).select("id", text.age_text(F.col("id")).alias("age"), text.age_days(F.col("id")).alias("days"))
+
+
+@on_tables("SELECT o_orderkey AS id, CAST(least(greatest(CAST(floor(o_totalprice * 1000) AS BIGINT) // 10485760, 3), 300) AS BIGINT) AS seconds FROM orders", views=False)
+def quiet_for(spark, sf_dir):
+    return td.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), ingest.quiet_for(F.floor(F.col("o_totalprice") * 1000)).alias("seconds"))
+
+
+@on_tables(r"""
+, f AS (SELECT path, regexp_extract(path, '[^/]*$') AS name FROM (SELECT path || s AS path FROM observed_files, (VALUES (''), ('~'), ('.tmp'), ('.PART'), ('.psd~')) t(s) UNION ALL SELECT regexp_replace(path, '/[^/]*$', p) FROM observed_files, (VALUES ('/~$x.doc'), ('/.~lock.a#'), ('/.#a'), ('/Thumbs.db'), ('/.DS_Store'), ('/desktop.ini')) t(p)))
+SELECT path, name ^@ '.~lock.' OR name ^@ '~$' OR name ^@ '.#' OR regexp_matches(lower(name), '\.(tmp|temp|swp|swo|part|partial|crdownload|download)$') OR suffix(name, '~') OR lower(name) IN ('.ds_store', 'thumbs.db', 'desktop.ini') AS noise FROM f""")
+def noise_files(spark, sf_dir):
+    paths = td.observed_files(spark, sf_dir).select("path")
+    ends = paths.withColumn("s", F.explode(F.array(*map(F.lit, ("", "~", ".tmp", ".PART", ".psd~"))))).select(F.concat("path", "s").alias("path"))
+    names = paths.withColumn("s", F.explode(F.array(*map(F.lit, ("/~$x.doc", "/.~lock.a#", "/.#a", "/Thumbs.db", "/.DS_Store", "/desktop.ini"))))).select(F.concat(text.dir_name(F.col("path")), "s").alias("path"))
+    return ends.union(names).withColumn("noise", text.is_noise_file(F.col("path")))
+
+
+@on_tables("SELECT o_orderkey AS id, CASE WHEN w <= 512 AND h <= 512 THEN w WHEN w >= h THEN 512 ELSE greatest(1, w * 512 // h) END AS w, CASE WHEN w <= 512 AND h <= 512 THEN h WHEN w >= h THEN greatest(1, h * 512 // w) ELSE 512 END AS h FROM (SELECT o_orderkey, o_custkey AS w, 1 + o_orderkey % 4000 AS h FROM orders)", views=False)
+def fit_within(spark, sf_dir):
+    w, h = F.col("o_custkey"), F.col("o_orderkey") % 4000 + 1
+    fits = (w <= 512) & (h <= 512)
+    whole = lambda x: F.greatest(F.lit(1).cast("long"), F.floor(x))
+    return td.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(fits, w).when(w >= h, 512).otherwise(whole(w * 512 / h)).alias("w"), F.when(fits, h).when(w >= h, whole(h * 512 / w)).otherwise(512).alias("h"))
+
+
+@query("SELECT id, file_hash, substring(file_hash, 1, 12) AS short, regexp_matches(file_hash, '^[0-9a-f]{64}$') AS valid, regexp_matches(substring(file_hash, 1, 60), '^[0-9a-f]{64}$') AS cut_valid FROM versions")
+def hash_forms(c):
+    h = F.col("file_hash")
+    return c.versions.select("id", "file_hash", text.short_hash(h).alias("short"), text.is_content_hash(h).alias("valid"), text.is_content_hash(F.substring(h, 1, 60)).alias("cut_valid"))
+
+
+# --- resolution of files into works -----------------------------------------
+
+PAIRS = "/*pairs*/"
+_CANDS = f"""{_NORMAL.format('observed_files', _NOISE)}
+, cands AS (SELECT o.path, o.asset_id, n.name, o.last_modified_at AS at, CASE WHEN regexp_matches(p.phash, '^[0-9a-f]{{16}}$') THEN CAST('0x' || p.phash AS UBIGINT) END AS bits
+  FROM observed_files o JOIN normal n ON n.path = o.path LEFT JOIN previews p ON p.file_hash = o.last_hash AND p.status = 'ok')
+, base AS (SELECT a.path AS path_a, b.path AS path_b, {_SIM.format('a.name', 'b.name')} AS n, a.name = b.name AS same_name, epoch_us(a.at) AS ta, epoch_us(b.at) AS tb, a.bits AS ba, b.bits AS bb
+  FROM cands a JOIN cands b ON a.path < b.path /*pairs*/)
+, parts AS (SELECT *, CASE WHEN abs(ta - tb) >= 28800e6 THEN 0.0::DOUBLE ELSE 1 - CAST(abs(ta - tb) AS DOUBLE) / 28800e6 END AS t, CASE WHEN ba IS NULL OR bb IS NULL THEN -1 ELSE CAST(bit_count(xor(ba, bb)) AS INTEGER) END AS d,
+    regexp_replace(path_a, '/[^/]*$', '') AS da, regexp_replace(path_b, '/[^/]*$', '') AS db FROM base)
+, scored AS (SELECT path_a, path_b, n AS name_score, t AS time_score, CASE WHEN d < 0 OR d >= 26 THEN 0.0::DOUBLE WHEN d <= 10 THEN 1.0 ELSE 1 - CAST(d - 10 AS DOUBLE) / 16 END AS image_score, d AS distance,
+    da = db OR starts_with(da, db || '/') OR starts_with(db, da || '/') AS same_tree, same_name FROM parts)
+, final AS (SELECT *, distance > 26 AND NOT (same_name AND same_tree) AS vetoed, CASE WHEN distance > 26 AND NOT (same_name AND same_tree) THEN 0.0::DOUBLE WHEN distance >= 0 THEN 0.7::DOUBLE * name_score + 0.1::DOUBLE * time_score + 0.2::DOUBLE * image_score
+    ELSE (0.7::DOUBLE * name_score + 0.1::DOUBLE * time_score) / (0.7::DOUBLE + 0.1::DOUBLE) END AS total FROM scored)"""
+@query(f"{_CANDS.replace(PAIRS, '')} SELECT path_a, path_b, name_score, time_score, image_score, distance, vetoed, total FROM final WHERE total >= 0.62::DOUBLE")
+def score_pairs(c):
+    return grouping.scored_pairs(grouping.candidates(c)).select("path_a", "path_b", "name_score", "time_score", "image_score", "distance", "vetoed", "total")
+
+
+@query(f"""{_CANDS.replace(PAIRS, "AND (CAST(split_part(b.path, '/', 5) AS BIGINT) = CAST(split_part(a.path, '/', 5) AS BIGINT) + 40 OR CAST(split_part(a.path, '/', 5) AS BIGINT) = CAST(split_part(b.path, '/', 5) AS BIGINT) + 40)")}
+SELECT f.path_a, f.path_b, name_score, time_score, image_score, distance >= 0 AS has_image, distance, same_tree, vetoed, total, decision,
+       CASE WHEN decision = 'together' THEN true WHEN decision = 'apart' THEN false WHEN vetoed THEN false ELSE total >= 0.62::DOUBLE END AS grouped
+FROM final f LEFT JOIN decisions d ON d.path_a = f.path_a AND d.path_b = f.path_b""")
+def explain_pairs(c):
+    keyed = c.observed_files.select("path", F.split("path", "/")[4].cast("long").alias("k"))
+    pairs = keyed.join(keyed.select(F.col("path").alias("other"), (F.col("k") - 40).alias("k")), "k").select(F.least("path", "other").alias("path_a"), F.greatest("path", "other").alias("path_b"))
+    return grouping.explain(c, pairs).select("path_a", "path_b", "name_score", "time_score", "image_score", "has_image", "distance", "same_tree", "vetoed", "total", "decision", "grouped")
+
+
+@query(f"SELECT path_a AS a, path_b AS b, decision FROM decisions")
+def decisions_for_pairs(c):
+    return cat.decision_for(c.grouping_decisions, c.grouping_decisions.select(F.col("path_b").alias("b"), F.col("path_a").alias("a"))).select("a", "b", "decision")
+
+
+@query("SELECT DISTINCT o.last_hash AS file_hash FROM observed_files o JOIN previews p ON p.file_hash = o.last_hash WHERE p.status = 'ok' AND p.phash = ''")
+def hashes_to_make(c):
+    return grouping.hashes_to_make(c)
+
+
+@query()
+def clusters(c):
+    return grouping.clusters(grouping.candidates(c), c.grouping_decisions).select("path", "cluster")
+
+
+@query(f"""{_CANDS.replace(PAIRS, '')}
+, links AS (SELECT path_a AS a, path_b AS b FROM final WHERE total >= 0.62::DOUBLE UNION SELECT path_b, path_a FROM final WHERE total >= 0.62::DOUBLE)
+SELECT a AS path, count(*) AS n_links FROM links GROUP BY 1""")
+def link_counts(c):
+    pairs = grouping.scored_pairs(grouping.candidates(c))
+    return pairs.select(F.col("path_a").alias("path")).union(pairs.select("path_b")).groupBy("path").agg(F.count("*").alias("n_links"))
+
+
+@query("SELECT o.path, o.asset_id, m.target FROM observed_files o JOIN (SELECT last_hash, min(asset_id) AS target FROM observed_files GROUP BY 1) m ON m.last_hash = o.last_hash")
+def canonical_assets(c):
+    of = c.observed_files.select("path", F.col("last_hash").alias("cluster"))
+    return grouping.canonical_assets(c.observed_files, of)
+
+
+# --- changes -----------------------------------------------------------------
+
+
+@query("SELECT id FROM assets WHERE id NOT IN (SELECT asset_id FROM versions) AND id NOT IN (SELECT asset_id FROM observed_files)")
+def empty_assets(c):
+    return c.assets.select("id").join(changes.delete_empty_assets(c).select("id"), "id", "left_anti")
+
+
+@query(f"""SELECT id, CASE WHEN content_present AND file_hash IN (SELECT file_hash FROM versions WHERE asset_id = {ASSET}) THEN TIMESTAMP '{td.NOW}' ELSE content_released_at END AS content_released_at,
+content_present AND file_hash NOT IN (SELECT file_hash FROM versions WHERE asset_id = {ASSET}) AS content_present FROM versions""")
+def content_released(c):
+    hashes = c.versions.where(F.col("asset_id") == ASSET).select("file_hash")
+    return changes.release_content(c.versions, hashes, now()).select("id", "content_released_at", "content_present")
+
+
+@query("SELECT path, CASE WHEN k % 3 = 0 THEN 1 ELSE k % 150 + 1 END AS asset_id FROM paths")
+def files_moved(c):
+    moves = c.observed_files.where(F.split("path", "/")[4].cast("long") % 3 == 0).select("path", F.lit(1).cast("long").alias("asset_id"))
+    return changes.move_files(c, moves, now())[2].select("path", "asset_id")
+
+
+@query("SELECT path, CASE WHEN k % 4 = 0 THEN -1 ELSE k % 150 + 1 END AS asset_id FROM paths WHERE k % 9 <> 0")
+def observed_upserted(c):
+    k = F.split("path", "/")[4].cast("long")
+    rows = c.observed_files.where(k % 4 == 0).withColumn("asset_id", F.lit(-1).cast("long"))
+    return changes.delete_observed(changes.put_observed(c.observed_files, rows), c.observed_files.where(k % 9 == 0)).select("path", "asset_id")
+
+
+@query(f"SELECT path_a, path_b, 'apart' AS decision, TIMESTAMP '{td.NOW}' AS decided_at FROM decisions WHERE decision = 'together' UNION ALL SELECT * FROM decisions WHERE decision <> 'together'")
+def decisions_changed(c):
+    flipped = c.grouping_decisions.where("decision = 'together'").select(F.col("path_b").alias("a"), F.col("path_a").alias("b"), F.lit("apart").alias("decision"), now().alias("decided_at"))
+    return changes.put_decisions(c.grouping_decisions, flipped)
+
+
+@query("SELECT least('/new' || path_a, path_b) AS path_a, greatest('/new' || path_a, path_b) AS path_b, decision, decided_at FROM decisions WHERE path_a NOT IN (SELECT path_b FROM decisions) UNION ALL SELECT least('/new' || path_a, CASE WHEN path_b IN (SELECT path_a FROM decisions) THEN '/new' || path_b ELSE path_b END), 'x', decision, decided_at FROM decisions WHERE false")
+def decisions_renamed(c):
+    inner = c.grouping_decisions.join(c.grouping_decisions.select(F.col("path_b").alias("path_a")), "path_a", "left_anti")
+    renames = inner.select(F.col("path_a").alias("old"), F.concat(F.lit("/new"), "path_a").alias("new")).distinct()
+    return changes.rename_in_decisions(inner, renames)
+
+
+@query("SELECT DISTINCT version_id FROM tickets WHERE version_id NOT IN (SELECT id FROM versions WHERE id % 4 <> 0)")
+def broken_tickets(c):
+    kept = Catalogue(**{**c.__dict__, "versions": c.versions.where("id % 4 <> 0")})
+    return changes.tickets_without_version(kept).select("version_id").distinct()
+
+
+@query("SELECT id FROM versions WHERE id % 4 = 0")
+def lost_versions(c):
+    return changes.lost_versions(c.versions, c.versions.where("id % 4 <> 0")).select("id")
+
+
+# --- saves, retention, sync --------------------------------------------------
+
+
+@on_tables("""
+SELECT path, min(seen_at) AS start, max(seen_at) AS last, count(*) AS n FROM (
+  SELECT *, sum(b) OVER (PARTITION BY path ORDER BY seen_at, size ROWS UNBOUNDED PRECEDING) AS run FROM (
+    SELECT *, CASE WHEN epoch_us(seen_at) - epoch_us(lag(seen_at) OVER (PARTITION BY path ORDER BY seen_at, size)) < 7200e6 THEN 0 ELSE 1 END AS b FROM sightings))
+GROUP BY path, run""")
+def debounce_sessions(spark, sf_dir):
+    return ingest.settled_saves(td.sightings(spark, sf_dir), 7200).select("path", "start", "last", "n")
+
+
+_WAITING = "(SELECT DISTINCT version_id FROM tickets WHERE status <> 'closed')"
+
+
+@query(f"""
+SELECT v.id, l.id IS NOT NULL AS newest, v.pinned, w.version_id IS NOT NULL AS ticket FROM versions v LEFT JOIN {_LATEST} l ON l.id = v.id LEFT JOIN {_WAITING} w ON w.version_id = v.id
+WHERE l.id IS NOT NULL OR v.pinned OR w.version_id IS NOT NULL""")
+def retention_immune(c):
+    return retention.immune(c)
+
+
+@query(f"""
+, aged AS (SELECT id, asset_id, observed_at, date_diff('day', observed_at, TIMESTAMP '{td.NOW}') AS age FROM versions WHERE content_present),
+b AS (SELECT *, CASE WHEN age <= 7 THEN 'all' WHEN age <= 30 THEN 'day:' || strftime(observed_at, '%Y-%m-%d') WHEN age <= 365 THEN 'week:' || strftime(date_trunc('week', observed_at), '%Y-%m-%d') ELSE 'month:' || strftime(date_trunc('month', observed_at), '%Y-%m-%d') END AS bucket FROM aged)
+SELECT b.id, b.asset_id, b.bucket, b.bucket = 'all' OR row_number() OVER (PARTITION BY b.asset_id, b.bucket ORDER BY b.observed_at DESC, b.id DESC) = 1
+       OR b.id IN (SELECT id FROM {_LATEST}) OR b.id IN (SELECT id FROM versions WHERE pinned) OR b.id IN (SELECT version_id FROM {_WAITING}) AS keep FROM b""")
+def retention_buckets(c):
+    return retention.thinned(c, now())
+
+
+@query("SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS hash FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 3 = 0)")
+def sync_missing(c):
+    return retention.missing(c.file_chunks.select(F.col("chunk_hash").alias("hash")), c.chunks.where(F.col("hash").cast("long") % 3 == 0))
