@@ -1,61 +1,24 @@
-"""What several operators need: tables, scratch tables, stable folds, components."""
+"""What several operators need: tables, stable folds, texts of batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.plans.components import Forest, components, materialize
+
 #: White space of the word contracts: everything else belongs to a word.
 SPACES = "\x09\x0a\x0b\x0c\x0d\x20"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-_own_scratch: dict[str, str] = {}
-
-
-def scratch(spark: SparkSession) -> str:
-    """The shared folder that spark.checkpoint.dir names; a local one where unset on a local master."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own_scratch:
-        _own_scratch[app] = f"file://{tempfile.mkdtemp(prefix='folio-')}"
-        spark.sparkContext.setCheckpointDir(_own_scratch[app])
-    return _own_scratch[app]
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts lineage, survives lost executors.
-
-    The table goes when the driver's JVM ends, or earlier by discard().
-    """
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._folio_path = path
-    return out
+__all__ = ["Forest", "components", "materialize"]
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table of materialize() that nothing reads any more."""
-    spark = df.sparkSession
-    place = spark._jvm.org.apache.hadoop.fs.Path(df._folio_path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def fold(doc_id: Column, n: int) -> Column:
@@ -63,56 +26,6 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
-class Forest:
-    """Union-find over 0..n-1 that takes whole arrays of links; the smallest member is the root."""
-
-    def __init__(self, n: int):
-        self.parent = np.arange(n)
-
-    def add(self, a: np.ndarray, b: np.ndarray) -> None:
-        while True:
-            a, b = self.parent[a], self.parent[b]
-            apart = a != b
-            if not apart.any():
-                return
-            a, b = a[apart], b[apart]
-            np.minimum.at(self.parent, np.maximum(a, b), np.minimum(a, b))
-            self.flatten()
-
-    def flatten(self) -> None:
-        while not np.array_equal(up := self.parent[self.parent], self.parent):
-            self.parent = up
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of edges(a, b): (node, root), root the smallest node reachable.
-
-    Alternates the large-star and small-star steps over whole tables until the
-    links form stars. A hub's rows are split by the skew handling of the joins,
-    minima are pre-aggregated, and each round is a written table.
-    """
-    pairs = edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi <> lo").distinct()
-    now, seen = materialize(pairs, "links"), None
-    while True:
-        mark = now.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(hi, lo))").alias("x")).first()
-        if mark == seen or not mark["n"]:
-            return now.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
-        seen = mark
-        # large star: every larger neighbour of u points at the smallest around u
-        around = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(now.select("lo", "hi"))
-        least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = around.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        large = materialize(large, "links")
-        # small star: u and its smaller neighbours point at the smallest of them
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        down = large.join(least, "hi")
-        small = down.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(least.select("hi", "m")).where("hi <> lo").distinct()
-        following = materialize(small, "links")
-        discard(now)
-        discard(large)
-        now = following
-
-
 def texts_of(batch, name: str) -> list[str]:
     """A text column of an Arrow batch, null as the empty text."""
     return [t or "" for t in batch.column(name).to_pylist()]

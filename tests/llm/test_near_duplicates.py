@@ -1,0 +1,217 @@
+"""SimHash, embeddings, suffixes and benchmark search against brute force, and their edge cases."""
+
+import random
+import re
+from collections import defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+
+from folio.llm import decontaminate, embedding_dedup, queries, simhash, suffix_dedup
+from folio.llm._shared import Forest, components
+from tests.llm.conftest import prose
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+EDGE = [None, "", "  \t\n", "one", "Two words", "ÀB c D", "x" * 70000, "a b c " * 9000, "\x0b\x0c odd\rgaps  here now"]
+
+
+def ascii_lower(t):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+
+
+def plain_fingerprint(text):
+    words = WORD.findall(ascii_lower(text or ""))
+    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) >= 3 else [" ".join(words)] if words else []
+    ones = np.zeros(64, int)
+    for s in shingles:
+        ones += np.array([xxhash.xxh64_intdigest(s.encode(), 42) >> k & 1 for k in range(64)])
+    return sum(1 << k for k in range(64) if 2 * ones[k] > len(shingles))
+
+
+def plain_components(n, linked):
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(n):
+        for b in range(a):
+            if linked(a, b):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return [find(x) for x in range(n)]
+
+
+def near_texts():
+    texts = EDGE[:]
+    for s in range(12):
+        base = prose(s, 300)
+        texts += [base, base, base + " tail", base.upper(), base.replace("ka", "KA", 1)]
+    return texts
+
+
+def test_simhash_equals_brute_force(spark, docs_of):
+    texts = near_texts()
+    want = [plain_fingerprint(t) for t in texts]
+    roots = plain_components(len(texts), lambda a, b: bin(want[a] ^ want[b]).count("1") <= 3)
+    got = {r["doc_id"]: r for r in simhash.group(docs_of(texts)).select("doc_id", simhash.hexed(_fp()).alias("fp"), "component_id").collect()}
+    assert [got[i]["fp"] for i in range(len(texts))] == [f"{w:016x}" for w in want]
+    assert [got[i]["component_id"] for i in range(len(texts))] == roots
+
+
+def _fp():
+    from pyspark.sql import functions as F
+
+    return F.col("fp")
+
+
+def test_simhash_tiles_change_nothing(spark):
+    r = random.Random(1)
+    fps = [r.getrandbits(64) for _ in range(150)]
+    fps += [f ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) for f in fps[:80]] + [f ^ 0b111 for f in fps[:40]]
+    fps = sorted(set(fps))
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    rows = spark.createDataFrame([(signed(f), i) for i, f in enumerate(fps)], "fp long, id long")
+    want = plain_components(len(fps), lambda a, b: bin(fps[a] ^ fps[b]).count("1") <= 3)
+    for tile in (131072, 1):
+        got = {r["node"]: r["root"] for r in components(simhash.links(rows, tile=tile)).collect()}
+        assert [got.get(i, i) for i in range(len(fps))] == want
+
+
+def test_simhash_nulls_repeats_and_empty(spark, docs_of):
+    docs = docs_of(["same text here", "same text here", None, "same text here", "same text here"], ids=[5, 5, 7, None, 9])
+    rows = sorted((r["doc_id"] or -1, r["component_id"]) for r in simhash.group(docs).collect())
+    assert rows == [(-1, None), (5, 5), (5, 5), (7, 7), (9, 5)]
+    kept = sorted((r["doc_id"] or -1) for r in simhash.dedup(docs).collect())
+    assert kept == [-1, 5, 7]
+    assert simhash.dedup(docs).columns == docs.columns
+    assert simhash.group(docs.limit(0)).count() == 0
+
+
+def test_forest_and_components(spark):
+    f = Forest(6)
+    f.add(np.array([5, 4, 3]), np.array([4, 3, 1]))
+    assert f.parent.tolist() == [0, 1, 2, 1, 1, 1]
+    path = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (102, 101)], "a long, b long")
+    got = {r["node"]: r["root"] for r in components(path).collect()}
+    assert got == {**{i: 0 for i in range(1, 41)}, 101: 100, 102: 100}
+
+
+def test_embeddings_equal_brute_force(spark):
+    r = np.random.default_rng(3)
+    base = r.normal(size=(60, 16))
+    x = np.concatenate([base, base[:30] + 0.15 * r.normal(size=(30, 16)), base[:10], 3.0 * base[:5], r.normal(size=(40, 16)) * 0.02 + base[0]]).astype(np.float32)
+    rows = [(i, v.tolist(), i % 4) for i, v in enumerate(x)]
+    odd = [(1000, None, 1), (1001, [], 1), (1002, [0.0] * 16, 1), (1003, [float("nan")] + [1.0] * 15, 1), (1004, [None] + [1.0] * 15, 1), (1005, [float("inf")] + [1.0] * 15, 1), (1006, [1.0, 2.0], 1), (1007, [2.0, 4.0], 1), (None, x[0].tolist(), 1), (3, x[3].tolist(), 2)]
+    table = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, label int")
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    linked = u @ u.T >= 0.9
+    np.fill_diagonal(linked, False)
+    roots = plain_components(len(x), lambda a, b: linked[a, b])
+    for tile in (4096, 7):
+        got = embedding_dedup.group(table, tile=tile).collect()
+        by = {r["vec_id"]: r for r in got}
+        assert len(got) == len(x) + 9
+        assert [by[i]["n_links"] for i in range(len(x))] == linked.sum(1).tolist()
+        assert [by[i]["component_id"] for i in range(len(x))] == roots
+        assert all(by[i]["n_links"] == 0 and by[i]["component_id"] == i and by[i]["kept"] for i in range(1000, 1006))
+        assert by[1006]["n_links"] == by[1007]["n_links"] == 1 and by[1007]["component_id"] == 1006 and not by[1007]["kept"]
+        assert by[None]["n_links"] == 0 and by[None]["component_id"] is None
+    assert embedding_dedup.group(table.limit(0)).count() == 0
+
+
+def plain_repeats(texts, least):
+    words = [WORD.findall(t or "") for t in texts]
+    seen = defaultdict(set)
+    for i, w in enumerate(words):
+        for k in range(len(w) - least + 1):
+            seen[tuple(w[k : k + least])].add(i)
+    out = []
+    for i, w in enumerate(words):
+        spans = []
+        for k in range(len(w) - least + 1):
+            if len(seen[tuple(w[k : k + least])]) > 1:
+                if spans and k <= spans[-1][1]:
+                    spans[-1][1] = k + least
+                else:
+                    spans.append([k, k + least])
+        out += [(i, a, b) for a, b in spans]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("least,k", [(50, 8), (20, 5)])
+def test_suffix_repeats_equal_brute_force(spark, docs_of, least, k):
+    passages = [prose(900 + i, 51 + 7 * i) for i in range(5)]
+    texts = EDGE[:]
+    for s in range(40):
+        parts = [prose(s, 40), passages[s % 5] if s % 2 else prose(s + 100, 30), prose(s + 200, 60), passages[0] if s % 3 == 0 else ""]
+        texts.append(" ".join(parts))
+    texts += [texts[12], texts[12], prose(77, 400)]
+    got = sorted((r["doc_id"], r["start"], r["end"]) for r in suffix_dedup.repeats(docs_of(texts), least, k).collect())
+    assert got == plain_repeats(texts, least)
+
+
+def test_suffix_repeats_of_one_document_or_none(spark, docs_of):
+    same = prose(1, 80)
+    assert suffix_dedup.repeats(docs_of([same, same, None], ids=[4, 4, 5])).count() == 0
+    assert suffix_dedup.repeats(docs_of([same, same], ids=[None, 5])).count() == 0
+    assert suffix_dedup.repeats(docs_of([same]).limit(0)).count() == 0
+
+
+def test_minimisers_hit_every_window():
+    r = np.random.default_rng(0)
+    h = r.integers(0, 50, 500).astype(np.uint64)
+    for window in (1, 7, 43):
+        want = sorted({k + j for k in range(len(h) - window + 1) for j in range(window) if h[k + j] == h[k : k + window].min()})
+        assert suffix_dedup.minimisers(h, window).tolist() == want
+
+
+def altered(text, every, r):
+    words = text.split()
+    return " ".join("changed" if i % every == every - 1 and r.random() < 0.9 else w for i, w in enumerate(words))
+
+
+def test_decontamination_tolerates_substitutions(spark, docs_of):
+    r = random.Random(5)
+    items = [prose(500 + i, 15 + 3 * i) for i in range(12)]
+    benchmark = spark.createDataFrame([(i, t) for i, t in enumerate(items)] + [(90, None), (91, ""), (92, "too short")], "item_id long, text string")
+    texts = [prose(i, 80) + ", " + altered(items[i % 12].title(), 8, r) + ". " + prose(i + 60, 80) for i in range(24)]
+    clean = [prose(i, 150) for i in range(1000, 1030)] + [" ".join(items[3].split()[:6]), *EDGE]
+    docs = docs_of(texts + clean)
+    for most in (1_000_000, 100):
+        got = {(x["doc_id"], x["item_id"]) for x in decontaminate.find(docs, benchmark, most_words=most).collect()}
+        assert got == {(i, i % 12) for i in range(24)}
+        kept = decontaminate.keep(docs, benchmark, most_words=most)
+        assert sorted(x["doc_id"] for x in kept.collect()) == list(range(24, 24 + len(clean))) and kept.columns == docs.columns
+    assert decontaminate.find(docs, benchmark.limit(0)).count() == 0
+    assert decontaminate.find(docs.limit(0), benchmark).count() == 0
+
+
+def test_decontamination_of_any_two_replaced_words():
+    item = [f"w{i}" for i in range(12)]
+    index = decontaminate.Index([(1, " ".join(item))], 12, 0.8)
+    filters = index.filters()
+    for a in range(12):
+        for b in range(a):
+            words = [("zz" if i in (a, b) else w) for i, w in enumerate(item)]
+            found = index.search([" ".join(["left", *words, "right"])], filters)[0]
+            inside = not {a, b} & {0, 11}
+            assert bool(found) == inside, (a, b)  # a stretch begins and ends with agreeing words
+
+
+def test_longest_stretch():
+    same = np.array([0, 1, 1, 1, 1, 0, 1, 1, 0, 0, 0, 1], bool)
+    a, b = decontaminate.longest(same, 0.8)
+    best = max((y - x, -x) for x in range(12) for y in range(x + 1, 13) if same[x:y].mean() >= 0.8 and same[x] and same[y - 1])
+    assert (b - a, -a) == best
+
+
+def test_queries_over_files(spark, docs_of, save):
+    texts = near_texts()
+    at = save(documents=docs_of(texts), benchmark=spark.createDataFrame([(1, prose(0, 40))], "item_id long, text string"))
+    assert queries.op3_simhash(spark, at).count() == len(texts)
+    assert {r["doc_id"] for r in queries.op8_decontaminate(spark, at).collect()} == {9, 10, 11, 12, 13}
+    assert queries.op7_suffix_dedup(spark, at).count() > 0
