@@ -398,7 +398,7 @@ def restore_states(spark, sf_dir):
 # --- scalar functions --------------------------------------------------------
 
 _NORMAL = r"""
-, stems AS (SELECT DISTINCT path, regexp_replace(regexp_extract(path, '[^/]*$'), '\.[^./]*$', '') AS stem FROM {0}),
+, stems AS (SELECT DISTINCT path, regexp_replace(regexp_extract(rtrim(path, '/'), '[^/]*$'), '\.[^./]*$', '') AS stem FROM {0}),
 n1 AS (SELECT *, regexp_replace(replace(lower(stem), '_', '-'), '\(\s*\d+\s*\)', ' ', 'g') AS n FROM stems),
 n2 AS (SELECT path, stem, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(n,
    '\b\d{{4}}[-_.]\d{{2}}[-_.]\d{{2}}\b', ' ', 'g'), '\b\d{{2}}[-_.]\d{{2}}[-_.]\d{{4}}\b', ' ', 'g'), '\b\d{{8}}\b', ' ', 'g'), '\b\d{{6}}\b', ' ', 'g'),

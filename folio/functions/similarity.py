@@ -27,7 +27,7 @@ def time_closeness(a: Column, b: Column, window_s: float) -> Column:
     """1 at the same instant, falling to 0 at the window."""
     if window_s <= 0:
         return F.lit(0.0)
-    gap = F.abs(F.unix_micros(a) - F.unix_micros(b)).cast("double")
+    gap = F.abs(F.unix_micros(a.cast("timestamp")) - F.unix_micros(b.cast("timestamp"))).cast("double")
     return F.when(gap >= window_s * 1e6, 0.0).otherwise(1 - gap / (window_s * 1e6))
 
 
