@@ -159,10 +159,12 @@ def relative_text(seconds: Column, at: Column) -> Column:
 
 
 def size_text(size: Column) -> Column:
+    """Bytes in the largest unit that they reach, with one decimal, written with a comma, unless it is 0."""
+    said = lambda power, unit: F.concat(F.translate(F.regexp_replace(F.format_string("%.1f", size / 1024**power), r"\.0$", ""), ".", ","), F.lit(f" {unit}"))
     out = F.when(size.isNull(), "").when(size < 1024, F.concat(size.cast("string"), F.lit(" B")))
     for power, unit in enumerate(("KB", "MB", "GB"), 1):
-        out = out.when(size < 1024 ** (power + 1), F.concat(F.format_number(size / 1024**power, "0.#"), F.lit(f" {unit}")))
-    return out.otherwise(F.concat(F.format_number(size / 1024**4, "0.#"), F.lit(" TB")))
+        out = out.when(size < 1024 ** (power + 1), said(power, unit))
+    return out.otherwise(said(4, "TB"))
 
 
 def counted(n: Column, what: str) -> Column:

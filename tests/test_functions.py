@@ -53,7 +53,7 @@ def test_hamming(spark):
 def test_age_and_size_texts(spark):
     h, d = 3600, 86400
     assert column(spark, [0, 40 * 60, 5 * h, 23 * h, 25 * h, 6 * d, 40 * d], text.age_text) == ["baru saja", "baru saja", "5 jam", "23 jam", "sehari", "6 hari", "40 hari"]
-    assert column(spark, [0, 1023, 1024, 1536, 5 << 20, 3 << 30, 2 << 40, 2000 << 40], text.size_text) == ["0 B", "1023 B", "1 KB", "1.5 KB", "5 MB", "3 GB", "2 TB", "2000 TB"]
+    assert column(spark, [0, 1023, 1024, 1536, 5 << 20, 3 << 30, 2 << 40, 2000 << 40], text.size_text) == ["0 B", "1023 B", "1 KB", "1,5 KB", "5 MB", "3 GB", "2 TB", "2000 TB"]
 
 
 def test_relative_texts(spark):
