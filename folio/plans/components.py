@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +69,24 @@ class Forest:
             self.parent = up
 
 
+def spanning_forest(edges: DataFrame) -> DataFrame:
+    """Links (a, b) of longs that connect what each task's edges(a, b) connect: fewer than a task has nodes."""
+
+    def run(batches):
+        a = b = np.empty(0, np.int64)
+        for batch in batches:
+            x = np.concatenate((a, batch.column(0).to_numpy(zero_copy_only=False)))
+            y = np.concatenate((b, batch.column(1).to_numpy(zero_copy_only=False)))
+            nodes, at = np.unique(np.concatenate((x, y)), return_inverse=True)
+            forest = Forest(len(nodes))
+            forest.add(at[: len(x)], at[len(x) :])
+            linked = np.flatnonzero(forest.parent != np.arange(len(nodes)))
+            a, b = nodes[linked], nodes[forest.parent[linked]]
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return edges.select("a", "b").mapInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges(a, b): (node, root), root the smallest node reachable.
 
