@@ -32,19 +32,22 @@ EACH = 1500
 
 
 def _laid(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes, each text padded with zeros to whole blocks, and each text's number of blocks."""
-    blocks = np.array([-(-(len(t) + WIDTH - 1) // BLOCK) for t in texts])
-    out = np.zeros(int(blocks.sum()) * BLOCK + WIDTH, np.uint8)
+    """All bytes, each text padded with zeros to whole blocks, and each text's number of blocks.
+
+    A block of zeros follows each text and belongs to none, so that no filter sees the next text.
+    """
+    blocks = np.array([max(1, -(-len(t) // BLOCK)) for t in texts])
+    out = np.zeros(int((blocks + 1).sum()) * BLOCK + WIDTH, np.uint8)
     at = 0
     for t, n in zip(texts, blocks.tolist(), strict=True):
         out[at : at + len(t)] = np.frombuffer(t, np.uint8)
-        at += n * BLOCK
+        at += (n + 1) * BLOCK
     return out, blocks
 
 
 def _chunks(blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First and last block (exclusive) of each chunk, and each text's first chunk."""
-    first = np.concatenate(([0], np.cumsum(blocks)[:-1]))
+    first = np.concatenate(([0], np.cumsum(blocks + 1)[:-1]))
     n = np.maximum(1, -(-(blocks - SPAN) // STEP) + 1)
     of = np.repeat(np.arange(len(blocks)), n)
     offset = np.concatenate(([0], np.cumsum(n)[:-1]))
@@ -86,10 +89,7 @@ class Network:
     def forward(self, data: np.ndarray, blocks: np.ndarray, table: np.ndarray, where: bool = False) -> dict:
         top, place = self.pooled(data, table, where)
         start, end, offset = _chunks(blocks)
-        bounds = np.stack([start, np.minimum(end, len(top) - 1)], 1).ravel()
-        chunk = np.maximum.reduceat(top, bounds, 0)[::2] if len(top) > 1 else top[start]
-        if len(top) > 1 and (last := end == len(top)).any():  # reduceat can't name the end
-            chunk[last] = [top[s:].max(0) for s in start[last]]
+        chunk = np.maximum.reduceat(top, np.stack([start, end], 1).ravel(), 0)[::2]
         z = chunk + self.w["bias"]
         a = np.maximum(z, 0)
         n = np.diff(np.append(offset, len(start)))[:, None]
@@ -107,7 +107,8 @@ class Network:
         of = np.repeat(np.arange(len(y)), t["n"][:, 0])
         mean, high, low = (dx[:, k * FILTERS : (k + 1) * FILTERS][of] for k in range(3))
         x = t["x"][of]
-        da = mean / t["n"][of] + high * (t["a"] == x[:, FILTERS : 2 * FILTERS]) + low * (t["a"] == x[:, 2 * FILTERS :])
+        share = lambda hit: hit / np.add.reduceat(hit.astype(np.int64), t["offset"], 0)[of]  # noqa: E731  equal chunks share the gradient
+        da = mean / t["n"][of] + high * share(t["a"] == x[:, FILTERS : 2 * FILTERS]) + low * share(t["a"] == x[:, 2 * FILTERS :])
         da *= t["z"] > 0
         g["bias"] = da.sum(0)
         # back to the place of each chunk's largest value
