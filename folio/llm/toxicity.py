@@ -27,6 +27,8 @@ from ._shared import texts_of
 
 #: At most so many documents of a class are learned from, by so many features.
 EACH, FEATURES = 1500, 1024
+#: A feature must part the classes by so many standard errors.
+SURE = 4.0
 #: Names of groups, by what can stand for each other.
 IDENTITY = (
     ("women", "men", "girls", "boys", "mujeres", "hombres", "femmes", "hommes", "frauen", "männer"),
@@ -90,7 +92,8 @@ def _weights(texts: list[str], found: list[set[str]], y: np.ndarray, steps: int,
         return abs(a - b) / np.sqrt(max(p * (1 - p), 1e-9) * (1 / n[0] + 1 / n[1]))
 
     known = [f for f in set(ones[0]) | set(ones[1]) if ones[0][f] + ones[1][f] >= 3]
-    chosen = sorted(known, key=lambda f: (-told(f), f))[:FEATURES]
+    ranked = sorted(((told(f), f) for f in known), key=lambda x: (-x[0], x[1]))[:FEATURES]
+    chosen = [f for z, f in ranked if z >= SURE] or [f for _, f in ranked[:32]]  # chance alone reaches SURE for few of many words
     groups = {f for t in _TERMS for f in (t, *([t[:_BEGIN] + "-"] if len(t) > _BEGIN else []))}
     names = list(dict.fromkeys([*chosen, *sorted(groups)]))
     at = {f: i for i, f in enumerate(names)}
