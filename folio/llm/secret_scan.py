@@ -29,7 +29,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so shorter ones drop out
 _ASSIGNED = ("password", "passwd", "secret", "token", "api_key", "apikey")
 #: Words that make the text behind them sensitive, in lower case.
 CONTEXT = ("password", "passwd", "passphrase", "secret", "token", "api_key", "apikey", "access_key", "private_key", "credential", "authorization", "bearer", "signature")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: The primer: what code around secrets usually says, and so costs little.
 IDENTIFIERS = (
     "const let var function return import from export default class static void public private protected string String int "
@@ -66,7 +66,7 @@ def base_spans(text: str, low: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def novel_spans(text: str, low: str, taken: list[tuple[int, int, int]], novelty: Novelty, reach: int = 64, around: int = 200, ratio: float = 0.9) -> list[tuple[int, int, int]]:
+def novel_spans(text: str, low: str, taken: list[tuple[int, int, int]], novelty: Novelty, reach: int = 64, around: int = 200, ratio: float = 0.75) -> list[tuple[int, int, int]]:
     """Candidates within reach behind a sensitive word, clear of taken spans, that cost >= ratio bytes a character."""
     if len(low) != len(text):  # lower-casing moved the positions
         low = re.sub("[A-Z]", lambda m: m[0].lower(), text)
@@ -79,7 +79,7 @@ def novel_spans(text: str, low: str, taken: list[tuple[int, int, int]], novelty:
                 if m.start() > begin + reach:
                     break
                 s, e = m.span()
-                if m[0].isalpha() or not any(c.isdigit() for c in m[0]) or not any(c.isalpha() for c in m[0]):
+                if sum(map(str.isdigit, m[0])) < 2 or sum(map(str.isalpha, m[0])) < 4:
                     continue
                 while e < len(text) and CANDIDATE.match(text[s : e + 1]) and len(CANDIDATE.match(text[s : e + 1])[0]) > e - s:
                     e += 1  # the window may have cut a long run
