@@ -502,12 +502,29 @@ def noise_files(spark, sf_dir):
     return ends.union(names).withColumn("noise", text.is_noise_file(F.col("path")))
 
 
-@on_tables("SELECT o_orderkey AS id, CASE WHEN w <= 512 AND h <= 512 THEN w WHEN w >= h THEN 512 ELSE greatest(1, w * 512 // h) END AS w, CASE WHEN w <= 512 AND h <= 512 THEN h WHEN w >= h THEN greatest(1, h * 512 // w) ELSE 512 END AS h FROM (SELECT o_orderkey, o_custkey AS w, 1 + o_orderkey % 4000 AS h FROM orders)", views=False)
+@on_tables("SELECT o_orderkey AS id, CASE WHEN w <= 0 OR h <= 0 THEN 0 WHEN w <= 512 AND h <= 512 THEN w WHEN w >= h THEN 512 ELSE greatest(1, w * 512 // h) END AS w, CASE WHEN w <= 0 OR h <= 0 THEN 0 WHEN w <= 512 AND h <= 512 THEN h WHEN w >= h THEN greatest(1, h * 512 // w) ELSE 512 END AS h FROM (SELECT o_orderkey, o_custkey AS w, 1 + o_orderkey % 4000 AS h FROM orders)", views=False)
 def fit_within(spark, sf_dir):
-    w, h = F.col("o_custkey"), F.col("o_orderkey") % 4000 + 1
-    fits = (w <= 512) & (h <= 512)
-    whole = lambda x: F.greatest(F.lit(1).cast("long"), F.floor(x))
-    return td.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(fits, w).when(w >= h, 512).otherwise(whole(w * 512 / h)).alias("w"), F.when(fits, h).when(w >= h, whole(h * 512 / w)).otherwise(512).alias("h"))
+    w, h = text.fit_within(F.col("o_custkey"), F.col("o_orderkey") % 4000 + 1, 512)
+    return td.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), w.alias("w"), h.alias("h"))
+
+
+@on_tables("""SELECT id, CASE WHEN id < 1024 THEN id || ' B' ELSE replace(regexp_replace(printf('%.1f', round(CASE WHEN id < 1048576 THEN id / 1024 WHEN id < 1073741824 THEN id / 1048576 ELSE id / 1073741824 END, 1)), '\\.0$', ''), '.', ',')
+  || CASE WHEN id < 1048576 THEN ' KB' WHEN id < 1073741824 THEN ' MB' ELSE ' GB' END END AS size FROM (SELECT k * k * 64 AS id FROM range(0, 6000, 3) t(k))""", views=False)
+def size_text(spark, sf_dir):
+    return spark.range(0, 6000, 3).select((F.col("id") * F.col("id") * 64).alias("id")).withColumn("size", text.size_text(F.col("id")))
+
+
+@on_tables("""SELECT id, CASE WHEN id < 45 THEN 'baru saja' WHEN id < 90 THEN 'semenit lalu' WHEN m < 60 THEN m || ' menit lalu' WHEN h < 24 THEN h || ' jam lalu' WHEN d = 1 THEN 'kemarin' WHEN d < 7 THEN d || ' hari lalu' ELSE '1998-09-01' END AS ago
+  FROM (SELECT *, CAST(round(h / 24.0) AS BIGINT) AS d FROM (SELECT *, CAST(round(m / 60.0) AS BIGINT) AS h FROM (SELECT id, CAST(round(id / 60.0) AS BIGINT) AS m FROM range(0, 900000, 13) t(id))))""", views=False)
+def relative_text(spark, sf_dir):
+    return spark.range(0, 900000, 13).select("id", text.relative_text(F.col("id"), now()).alias("ago"))
+
+
+@on_tables("SELECT o_orderkey AS id, o_clerk_path AS path, CASE WHEN o_clerk_path LIKE '%.psd' THEN 'psd' WHEN o_clerk_path LIKE '%.PNG' THEN 'image' WHEN o_clerk_path LIKE '%.kra' THEN 'kra' WHEN o_clerk_path LIKE '%.mov' THEN 'video' ELSE '' END AS source FROM (SELECT o_orderkey, '/w/' || o_orderkey || ['.psd', '.PNG', '.kra', '.mov', '.ai', ''][1 + o_orderkey % 6] AS o_clerk_path FROM orders)", views=False)
+def preview_sources(spark, sf_dir):
+    ends = F.array(*map(F.lit, (".psd", ".PNG", ".kra", ".mov", ".ai", "")))
+    path = F.concat(F.lit("/w/"), F.col("o_orderkey").cast("string"), F.element_at(ends, (F.col("o_orderkey") % 6 + 1).cast("int")))
+    return td.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), path.alias("path"), text.preview_source(path).alias("source"))
 
 
 @query("SELECT id, file_hash, substring(file_hash, 1, 12) AS short, regexp_matches(file_hash, '^[0-9a-f]{64}$') AS valid, regexp_matches(substring(file_hash, 1, 60), '^[0-9a-f]{64}$') AS cut_valid FROM versions")
@@ -626,6 +643,54 @@ def lost_versions(c):
     return changes.lost_versions(c.versions, c.versions.where("id % 4 <> 0")).select("id")
 
 
+@query("SELECT id, CASE WHEN id = 1 THEN NOT pinned ELSE pinned END AS pinned FROM versions")
+def version_pinned(c):
+    row = c.versions.where("id = 1").first()
+    return (changes.set_pinned(c.versions, 1, not row["pinned"]) if row else c.versions).select("id", "pinned")
+
+
+@query(f"SELECT path FROM watched_folders UNION SELECT '/new/' || n_nationkey FROM nation WHERE n_nationkey % 2 = 0")
+def folders_added(c):
+    more = c.watched_folders.where(F.split("path", "/")[2].cast("int") % 2 == 0)
+    new = more.select(F.regexp_replace("path", "^/work", "/new/.").alias("path"), "added_at").union(more.select(F.concat("path", F.lit("/")), "added_at"))
+    return changes.add_folders(c.watched_folders, new).select("path")
+
+
+@query("SELECT id, CASE WHEN id % 100 = 0 THEN TIMESTAMP '1998-09-01' ELSE updated_at END AS updated_at FROM assets")
+def assets_touched(c):
+    return changes.touch_assets(c.assets, c.assets.where("id % 100 = 0").select("id"), now()).select("id", "updated_at")
+
+
+@query("SELECT id, CASE WHEN file_key LIKE '%/file_1.psd' THEN '/moved' || file_key ELSE file_key END AS file_key FROM versions")
+def file_keys_renamed(c):
+    old = c.versions.where(F.col("file_key").endswith("/file_1.psd")).select(F.col("file_key").alias("old")).distinct()
+    return changes.rename_file_key(c.versions, old.withColumn("new", F.concat(F.lit("/moved"), "old"))).select("id", "file_key")
+
+
+@query("SELECT p.file_hash, CASE WHEN status = 'failed' THEN 'ok' ELSE status END AS status, phash FROM previews p")
+def previews_replaced(c):
+    retried = c.previews.where("status = 'failed'").withColumns({"status": F.lit("ok"), "phash": F.lit("f" * 16)})
+    return changes.put_previews(c.previews, retried).select("file_hash", "status", "phash")
+
+
+@query("SELECT file_hash, CASE WHEN status = 'ok' AND phash = '' THEN 'ffffffffffffffff' ELSE phash END AS phash FROM previews")
+def phashes_set(c):
+    return changes.set_phash(c.previews, c.previews.where("status = 'ok' AND phash = ''").select("file_hash", F.lit("f" * 16).alias("phash"))).select("file_hash", "phash")
+
+
+@on_tables("SELECT (SELECT max(c_custkey) FROM customer) + row_number() OVER (ORDER BY n_name) AS id, n_name AS name FROM nation", views=False)
+def assets_created(spark, sf_dir):
+    names = td.table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"))
+    assets = td.assets(spark, sf_dir)
+    return changes.create_assets(assets, names, now()).select("id", "name").join(assets.select("id"), "id", "left_anti")
+
+
+@query(f"SELECT f.hash, f.size FROM (SELECT DISTINCT chunk_hash FROM file_chunks WHERE file_hash IN (SELECT CAST(id AS VARCHAR) FROM versions WHERE asset_id = {ASSET} AND content_present)) d JOIN chunks f ON f.hash = d.chunk_hash")
+def bundle_chunks(c):
+    by_id = c.versions.withColumn("file_hash", F.col("id").cast("string"))
+    return retention.bundle(Catalogue(**{**c.__dict__, "versions": by_id}), ASSET)
+
+
 # --- saves, retention, sync --------------------------------------------------
 
 

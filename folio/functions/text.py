@@ -195,5 +195,12 @@ def seek_seconds(duration_s: Column) -> Column:
     return F.when(duration_s > 0, duration_s / 10).otherwise(F.lit(2.0))
 
 
+def fit_within(w: Column, h: Column, most: int) -> tuple[Column, Column]:
+    """Width and height in a square of `most`, in proportion and whole, never enlarged; 0 for an empty picture."""
+    fits, none = (w <= most) & (h <= most), (w <= 0) | (h <= 0)
+    part = lambda x, y: F.greatest(F.lit(1).cast("long"), F.floor(x * most / y))
+    return F.when(none, 0).when(fits, w).when(w >= h, most).otherwise(part(w, h)), F.when(none, 0).when(fits, h).when(w >= h, part(h, w)).otherwise(most)
+
+
 def like_escaped(text: Column) -> Column:
     return F.regexp_replace(text, r"([\\%_])", r"\\$1")

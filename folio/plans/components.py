@@ -87,9 +87,12 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, one_task_up_to: int = 0) -> DataFrame:
     """Connected components of edges(a, b): (node, root), root the smallest node reachable.
 
+    Up to one_task_up_to distinct links, counted first, go through one task's
+    forest (nodes must then be longs); beyond that, and by default:
+
     Alternates the large-star and small-star steps over whole tables until the
     links form stars. A hub's rows are split by the skew handling of the joins,
     minima are pre-aggregated, and each round is a written table.
@@ -98,6 +101,8 @@ def components(edges: DataFrame) -> DataFrame:
     now, seen = materialize(pairs, "links"), None
     while True:
         mark = now.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(hi, lo))").alias("x")).first()
+        if seen is None and 0 < mark["n"] <= one_task_up_to:
+            return spanning_forest(now.select(F.col("hi").alias("a"), F.col("lo").alias("b")).coalesce(1)).toDF("node", "root")
         if mark == seen or not mark["n"]:
             return now.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
         seen = mark
