@@ -98,6 +98,7 @@ def test_forest_and_components(spark):
     path = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (102, 101)], "a long, b long")
     got = {r["node"]: r["root"] for r in components(path).collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, 101: 100, 102: 100}
+    assert {r["node"]: r["root"] for r in components(path, one_task_up_to=100).collect()} == got
 
 
 def test_embeddings_equal_brute_force(spark):
