@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from folio import schema
 from folio.functions import text
+from folio.plans.components import materialize
 from folio.schema import Catalogue
 
 
@@ -23,11 +24,12 @@ def upsert(table: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
 def with_ids(table: DataFrame, rows: DataFrame, *order: str) -> DataFrame:
     """rows with ids that follow the largest of table, in the given order.
 
-    One range-ordered numbering: rows of a task are counted first, then numbered
-    from the counts of the tasks before, so no task holds all rows.
+    One range-ordered numbering, written once so that both reads see the same
+    ranges: rows of a task are counted, then numbered from the counts of the
+    tasks before, so no task holds all rows.
     """
     base = table.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_base"))
-    parts = rows.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    parts = materialize(rows.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "numbered")
     sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row for each task
     return parts.join(F.broadcast(before), "_part").crossJoin(F.broadcast(base)).withColumn("id", F.col("_base") + F.col("_before") + F.col("_at") + 1).drop("_base", "_part", "_at", "_before")
