@@ -187,10 +187,17 @@ def dedup(docs: DataFrame, **rules) -> DataFrame:
 
     Rows of an equal doc_id are one document, of which the least row stays.
     """
-    kept = group(docs, **rules).where("doc_id = component_id").select("doc_id").distinct()
+    kept = group(docs, **rules).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+    kept = materialize(kept, "kept")
+    # ids are hashed, so that the texts are shuffled once and never sorted
+    once = docs.join(kept.where("n = 1").select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").select(docs.columns)
+    out = once.union(docs.where("doc_id IS NULL"))
+    repeated = kept.where("n > 1").select("doc_id")
+    if repeated.isEmpty():
+        return out
     rest = [c for c in docs.columns if c != "doc_id"]
-    one = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("_row")).select("doc_id", "_row.*").select(docs.columns)
-    return one.union(docs.where("doc_id IS NULL"))
+    least = docs.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("_row"))
+    return out.union(least.select("doc_id", "_row.*").select(docs.columns))
 
 
 def hexed(fp: Column) -> Column:
