@@ -26,6 +26,22 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def sliced(batches, rows: int = 256):
+    """Batches in slices of a few rows, so that a task holds few texts as Python objects; in the end, free memory goes back to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    for batch in batches:
+        for at in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def texts_of(batch, name: str) -> list[str]:
     """A text column of an Arrow batch, null as the empty text."""
     return [t or "" for t in batch.column(name).to_pylist()]

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import in_slices, texts_of
+from ._shared import in_slices, sliced, texts_of
 
 #: 1: the word counts; 0: it is ignored.
 MASKS = ("111111", "11101011", "101100111")
@@ -159,7 +159,7 @@ def find(docs: DataFrame, benchmark: DataFrame, least: int = 12, identity: float
     def run_with(shared):
         def run(batches):
             index, filters = shared.value, shared.value.filters()
-            for batch in batches:
+            for batch in sliced(batches):
                 ids, texts = batch.column("doc_id").to_pylist(), texts_of(batch, "text")
                 rows = []
                 for a, b in in_slices(texts, len, 1 << 20):
@@ -185,7 +185,7 @@ def keep(docs: DataFrame, benchmark: DataFrame, least: int = 12, identity: float
     def run_with(shared):
         def run(batches):
             index, filters = shared.value, shared.value.filters()
-            for batch in batches:
+            for batch in sliced(batches):
                 texts = [t or "" for t in batch.column(at).to_pylist()]
                 clean = [not x for a, b in in_slices(texts, len, 1 << 20) for x in index.search(texts[a:b], filters)]
                 yield batch.filter(pa.array(clean, pa.bool_()))

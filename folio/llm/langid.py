@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import fold, in_slices, texts_of
+from ._shared import fold, in_slices, sliced, texts_of
 
 #: At most so many documents of a language are learned from.
 EACH = 800
@@ -149,7 +149,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score for each row of docs(doc_id, text)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             names, scores = model.predict(texts_of(batch, "text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._labelled import Adam, sample
-from ._shared import fold, in_slices, texts_of
+from ._shared import fold, in_slices, sliced, texts_of
 
 #: Positions of a block; a chunk is SPAN blocks, and the next begins STEP blocks further.
 BLOCK, SPAN, STEP = 128, 4, 3
@@ -162,7 +162,7 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
     """doc_id and score, the probability of good quality, for each row of docs(doc_id, text)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             got = list(net.score([t.encode("utf-8", "surrogatepass") for t in texts_of(batch, "text")]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(got) if got else [], pa.float64())], ["doc_id", "score"])
 
@@ -174,7 +174,7 @@ def keep(docs: DataFrame, net: Network, threshold: float) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             got = list(net.score([(t or "").encode("utf-8", "surrogatepass") for t in batch.column(at).to_pylist()]))
             if got:
                 yield batch.filter(pa.array(np.concatenate(got) >= threshold))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import texts_of
+from ._shared import sliced, texts_of
 
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -100,7 +100,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         novelty = Novelty()
-        for batch in batches:
+        for batch in sliced(batches):
             counts, base, spans = [[], [], [], []], [], []
             for text in texts_of(batch, "text"):
                 low = text.lower()
@@ -133,7 +133,7 @@ def redact(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         novelty = Novelty()
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(at).to_pylist()
             made = [t and clean(t, novelty) for t in texts]
             columns = list(batch.columns)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import SPACES, Forest, components, materialize, texts_of
+from ._shared import SPACES, Forest, components, materialize, sliced, texts_of
 
 #: Bits of each range whose population count is one coordinate of a cell.
 PARTS = ((0, 22), (22, 21), (43, 21))
@@ -80,7 +80,7 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
     """doc_id and fp, the fingerprint as a signed long, for each row of docs(doc_id, text)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             fps = [majority(shingle_hashes(t, width, seed)) for t in texts_of(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import SPACES, materialize, texts_of
+from ._shared import SPACES, materialize, sliced, texts_of
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[ord(c) for c in SPACES]] = True
@@ -122,7 +122,7 @@ def repeats(docs: DataFrame, least: int = 50, k: int = 8) -> DataFrame:
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
 
     def select(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             ids, positions, values, n = batch.column("doc_id").to_numpy(zero_copy_only=False), [], [], []
             for t in texts_of(batch, "text"):
                 h = grams(word_hashes(t), k)
@@ -140,7 +140,7 @@ def repeats(docs: DataFrame, least: int = 50, k: int = 8) -> DataFrame:
 
     def cut(batches):
         """The words around each kept position: `reach` of 32-bit hashes to the right, and to the left going backwards."""
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [[], [], [], []]
             for d, t, at in zip(batch.column("doc_id").to_pylist(), texts_of(batch, "text"), batch.column("at").to_pylist(), strict=True):
                 words = (word_hashes(t) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._labelled import Adam, sample
-from ._shared import texts_of
+from ._shared import sliced, texts_of
 
 #: At most so many documents of a class are learned from, by so many features.
 EACH, FEATURES = 1500, 1024
@@ -173,7 +173,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score, the probability of toxicity, for each row of docs(doc_id, text)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             got = [model.score(t) for t in texts_of(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got, pa.float64())], ["doc_id", "score"])
 
