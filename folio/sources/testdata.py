@@ -2,7 +2,9 @@
 
 customer are works, orders their versions and tickets, part the tracked files,
 lineitem the chunks of files, embeddings the 8x8 grids behind picture hashes,
-events the sightings of files.
+events the sightings of files. Remainders of keys shape the catalogue (works
+without versions, contents without pictures, closed tickets); every query runs
+over the whole of it.
 """
 
 from __future__ import annotations
