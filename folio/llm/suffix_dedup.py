@@ -5,13 +5,16 @@ consecutive hashes of `k` words, the least (a minimiser). Any passage of `least`
 words holds such a position, the same in every document, as window + k - 1 is
 `least`. Positions whose k words occur in one document only are dropped after a
 pre-aggregated count. The others are sorted by the words that follow, over the
-whole cluster; each is compared with its neighbours of other documents, and the
-agreement is extended to the right and to the left. Stretches of `least` words
-or more are joined into each document's repeated passages.
+whole cluster. Suffixes with the same first k words form a run, within which every
+stretch of `least` words around those words, to the right and to the left, is
+compared with those of all other documents by a 64-bit hash. Stretches that
+another document holds are joined into each document's repeated passages.
 
 The sort is by range, so a passage that a third of all documents hold spreads
-over many tasks; the rows at the borders of the tasks meet in a second pass (two
-rows a task).
+over many tasks. The first and the last run of a task may go on in another, and a
+run of over RUN rows isn't held whole: their stretches meet in a second pass,
+dealt by hash, to which a task hands at most two rows for a stretch that several
+of its documents hold.
 
 Defined cases: a null text is empty; ties (equal suffixes) order by document;
 repeated rows (equal doc_id) are one document and never each other's repeat; a
@@ -21,7 +24,9 @@ ignored. Words are separated by white space and compared exactly.
 
 from __future__ import annotations
 
+import bisect
 import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +35,9 @@ from pyspark.sql import functions as F
 
 from ._shared import SPACES, materialize, sliced, texts_of
 
+#: A run of so many suffixes is not held whole; its stretches meet by their hash.
+RUN = 16384
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[ord(c) for c in SPACES]] = True
 
@@ -90,30 +98,72 @@ def minimisers(hashes: np.ndarray, window: int) -> np.ndarray:
     return np.flatnonzero(hashes == highest)
 
 
-def _neighbours(table: pa.Table, least: int, reach: int) -> tuple[pa.Table, np.ndarray]:
-    """Spans of sorted suffixes that agree with the nearest of another document, before or behind, over `least` words."""
+def _windows(table: pa.Table, least: int, reach: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """row, begin and hash of each stretch of `least` words in the text that holds the first k words of a row's suffix.
+
+    begin counts from the suffix's position, at most 0. Equal stretches around equal words have equal hashes.
+    """
     n = table.num_rows
-    doc, pos = table.column("doc_id").to_numpy(), table.column("pos").to_numpy()
-    sides = [np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint32).reshape(n, reach) for c in ("right", "left")]
-    starts = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
-    run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
-    best_left, best_right = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    for other in (starts[run] - 1, np.append(starts, n)[run + 1]):
-        ok = np.flatnonzero((other >= 0) & (other < n))
-        agree = []
-        for side in sides:
-            same = side[ok] == side[other[ok]]
-            same &= side[ok] != 0  # 0: beyond the text
-            agree.append(np.where(same.all(1), reach, same.argmin(1)))
-        long = agree[0] + agree[1] >= least
-        at = ok[long]
-        best_right[at] = np.maximum(best_right[at], agree[0][long])
-        best_left[at] = np.maximum(best_left[at], agree[1][long])
-    found = np.flatnonzero(best_left + best_right >= least)
-    return pa.table({"doc_id": doc[found], "start": pos[found] - best_left[found], "end": pos[found] + best_right[found]}, schema=_SPANS), starts
-
-
-_SPANS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
+    right, left = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint32).reshape(n, reach) for c in ("right", "left"))
+    words = np.concatenate((left[:, least - k - 1 :: -1] if least > k else left[:, :0], right[:, :least]), 1)
+    mixed = words.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(29)
+    mixed *= np.random.default_rng(7).integers(0, 1 << 64, words.shape[1], np.uint64) | np.uint64(1)
+    upto = np.zeros((n, words.shape[1] + 1), np.uint64)
+    np.cumsum(mixed, 1, out=upto[:, 1:])
+    row, at = np.nonzero((words[:, : least - k + 1] != 0) & (words[:, least - 1 :] != 0))  # 0: beyond the text
+    return row, at - (least - k), upto[row, at + least] - upto[row, at]
+
+
+def _grouped(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The group of each row by its hash, and each group's hash and least and greatest document."""
+    if not len(hashes):
+        return np.empty(0, np.int64), hashes, docs, docs
+    order = np.argsort(hashes)
+    h, d = hashes[order], docs[order]
+    first = np.concatenate(([True], h[1:] != h[:-1]))
+    starts = np.flatnonzero(first)
+    of = np.empty(len(h), np.int64)
+    of[order] = np.cumsum(first) - 1
+    return of, h[starts], np.minimum.reduceat(d, starts), np.maximum.reduceat(d, starts)
+
+
+def _slices(first: list, start: int, stop: int) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of whole runs of equal keys, of 4,096 rows or the run that goes beyond."""
+    while start < stop:
+        end = min(stop, bisect.bisect_right(first, first[min(stop, start + 4096) - 1]))
+        yield start, end
+        start = end
+
+
+def _compare(table: pa.Table, least: int, reach: int, k: int, whole: bool) -> pa.Table:
+    """Spans that documents of the table repeat; unless its runs are whole, also what stretches have to meet elsewhere.
+
+    A stretch of one document goes on as a row with its place, one of several as two
+    documents that hold it, so a common stretch leaves two rows however often it stands.
+    """
+    doc, pos = table.column("doc_id").to_numpy(), table.column("pos").to_numpy().astype(np.int64)
+    row, begin, h = _windows(table, least, reach, k)
+    of, distinct, low, high = _grouped(h, doc[row])
+    common = low != high
+    found = np.flatnonzero(common[of])
+    # rows come in order and a row's stretches by their begin; all hold its first word, so they join into one
+    edge = np.flatnonzero(np.diff(row[found], prepend=-1))
+    ends = np.append(edge[1:], len(found)) - 1 if len(edge) else edge
+    at = row[found[edge]]
+    columns = [doc[at], pos[at] + begin[found[edge]], pos[at] + begin[found[ends]] + least]
+    spans = pa.table([*columns, pa.nulls(len(at), pa.int64())], schema=_OUT)
+    if whole:
+        return spans
+    alone = np.flatnonzero(~common[of])
+    start = pos[row[alone]] + begin[alone]
+    waiting = pa.table([doc[row[alone]], start, start + least, h[alone].view(np.int64)], schema=_OUT)
+    n = 2 * int(common.sum())
+    holders = [np.concatenate((low[common], high[common])), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), np.tile(distinct[common], 2).view(np.int64)]
+    return pa.concat_tables([spans, waiting, pa.table(holders, schema=_OUT)])
+
+
+_OUT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("hash", pa.int64())])
 
 
 def repeats(docs: DataFrame, least: int = 50, k: int = 8) -> DataFrame:
@@ -158,52 +208,43 @@ def repeats(docs: DataFrame, least: int = 50, k: int = 8) -> DataFrame:
     suffixes = materialize(texts.join(places, "doc_id").mapInArrow(cut, "doc_id long, pos int, right binary, left binary"), "suffixes")
     order = ("right", "left", "doc_id", "pos")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = suffixes.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    sorted_ = suffixes.repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def compare(batches):
-        """Spans within the task; its first and last documents' border rows go on with their place."""
-        held, part, first = None, None, None
+        """Compare whole runs of suffixes with equal first k words; a task's first and last run and very long ones stay open."""
+        held, opened = None, True  # opened: the first run held has rows elsewhere
         for batch in itertools.chain(batches, [None]):
             if batch is not None:
                 if not batch.num_rows:
                     continue
-                table = pa.Table.from_batches([batch])
-                part = table.column("part")[0].as_py()
-                table = table.drop_columns(["part"])
-                if first is None:
-                    first = table.slice(0, 1)
-                held = table if held is None else pa.concat_tables([held, table])
+                more = pa.Table.from_batches([batch])
+                held = more if held is None else pa.concat_tables([held, more])
             if held is None or (batch is not None and held.num_rows < 4096):
                 continue
-            spans, starts = _neighbours(held, least, reach)
-            yield from _out(spans, None, part)
-            if batch is None:
-                yield from _out(None, first, 2 * part)
-                yield from _out(None, held.slice(held.num_rows - 1), 2 * part + 1)
-            else:  # go on with the last two documents' last rows, which the next rows may neighbour
-                at = [held.num_rows - 1] if len(starts) < 2 else [int(starts[-1]) - 1, held.num_rows - 1]
-                held = held.take(at)
-
-    def _out(spans, border, part):
-        n = spans.num_rows if spans is not None else border.num_rows
-        if spans is not None:
-            columns = [spans.column(c).combine_chunks() for c in ("doc_id", "start", "end")]
-            rest = [pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())]
-        else:
-            columns = [border.column("doc_id").combine_chunks(), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())]
-            rest = [pa.array([part] * n, pa.int32()), *(border.column(c).combine_chunks() for c in ("pos", "right", "left"))]
-        for b in pa.table([*columns, *rest], schema=_OUT).to_batches():
-            yield b
-
-    found = materialize(sorted_.mapInArrow(compare, "doc_id long, start long, end long, border int, pos int, right binary, left binary"), "spans")
-
-    def meet(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("border", "ascending")])
-        return _neighbours(table.select(["doc_id", "pos", "right", "left"]), least, reach)[0]
-
-    # two rows of each task
-    borders = found.where("border IS NOT NULL").groupBy(F.lit(0).alias("all")).applyInArrow(meet, "doc_id long, start long, end long")
-    spans = found.where("border IS NULL").select("doc_id", "start", "end").union(borders)
+            first = [r[: 4 * k] for r in held.column("right").to_pylist()]
+            last = bisect.bisect_left(first, first[-1])  # the last run begins here
+            at = 0
+            if opened and last:
+                at = bisect.bisect_right(first, first[0])
+                yield from _open(held.slice(0, at))
+                opened = False
+            for i, j in _slices(first, at, last):
+                yield from _compare(held.slice(i, j - i), least, reach, k, True).to_batches(65536)
+            held = held.slice(last)
+            if batch is None or opened or held.num_rows >= RUN:
+                yield from _open(held)
+                held, opened = None, True
+
+    def _open(table):
+        for i in range(0, table.num_rows, 4096):
+            yield from _compare(table.slice(i, 4096), least, reach, k, False).to_batches(65536)
+
+    found = materialize(sorted_.mapInArrow(compare, "doc_id long, start long, end long, hash long"), "spans")
+    # stretches of open runs meet by their hash
+    waiting = found.where("hash IS NOT NULL")
+    common = waiting.groupBy("hash").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("hash")
+    met = waiting.where("start IS NOT NULL").join(materialize(common, "met"), "hash").select("doc_id", "start", "end")
+    spans = found.where("hash IS NULL").select("doc_id", "start", "end").union(met)
 
     def join(batches):
         for batch in batches:
@@ -220,6 +261,3 @@ def repeats(docs: DataFrame, least: int = 50, k: int = 8) -> DataFrame:
 
     per_doc = spans.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
     return per_doc.mapInArrow(join, "doc_id long, start long, end long")
-
-
-_OUT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("border", pa.int32()), ("pos", pa.int32()), ("right", pa.binary()), ("left", pa.binary())])

@@ -155,6 +155,18 @@ def test_suffix_repeats_equal_brute_force(spark, docs_of, least, k):
     assert got == plain_repeats(texts, least)
 
 
+@pytest.mark.parametrize("share", [0.02, 0.05])
+def test_suffix_repeats_among_altered_variants(spark, docs_of, share):
+    r = random.Random(int(share * 100))
+    passage = prose(950, 60).split()
+    texts = []
+    for s in range(200):
+        words = [f"w{r.randrange(10**6)}" if r.random() < share else w for w in passage]
+        texts.append(" ".join([prose(3000 + s, 40), *words, prose(6000 + s, 40)]))
+    got = sorted((x["doc_id"], x["start"], x["end"]) for x in suffix_dedup.repeats(docs_of(texts)).collect())
+    assert got == plain_repeats(texts, 50)
+
+
 def test_suffix_repeats_of_one_document_or_none(spark, docs_of):
     same = prose(1, 80)
     assert suffix_dedup.repeats(docs_of([same, same, None], ids=[4, 4, 5])).count() == 0
