@@ -12,9 +12,9 @@ another document holds are joined into each document's repeated passages.
 
 The sort is by range, so a passage that a third of all documents hold spreads
 over many tasks. The first and the last run of a task may go on in another, and a
-run of over RUN rows isn't held whole: their stretches meet in a second pass,
-dealt by hash, to which a task hands at most two rows for a stretch that several
-of its documents hold.
+run of over RUN rows isn't held whole: their stretches whose right part also stands
+at the border meet in a second pass, dealt by hash, to which a task hands at most
+two rows for a stretch that several of its documents hold.
 
 Defined cases: a null text is empty; ties (equal suffixes) order by document;
 repeated rows (equal doc_id) are one document and never each other's repeat; a
@@ -155,7 +155,12 @@ def _compare(table: pa.Table, least: int, reach: int, k: int, whole: bool) -> pa
     spans = pa.table([*columns, pa.nulls(len(at), pa.int64())], schema=_OUT)
     if whole:
         return spans
-    alone = np.flatnonzero(~common[of])
+    # rows are sorted: a right part that differs from the table's first and last row's stands in this table only
+    right = np.frombuffer(b"".join(table.column("right").to_pylist()), np.uint32).reshape(-1, reach)
+    same = [np.where((eq := right == right[i]).all(1), reach, eq.argmin(1)) for i in (0, -1)]
+    unsettled = begin + least <= np.maximum(*same)[row]
+    alone = np.flatnonzero(~common[of] & unsettled)
+    common = common & (np.bincount(of[unsettled], minlength=len(common)) > 0)
     start = pos[row[alone]] + begin[alone]
     waiting = pa.table([doc[row[alone]], start, start + least, h[alone].view(np.int64)], schema=_OUT)
     n = 2 * int(common.sum())
@@ -236,8 +241,8 @@ def repeats(docs: DataFrame, least: int = 50, k: int = 8) -> DataFrame:
                 held, opened = None, True
 
     def _open(table):
-        for i in range(0, table.num_rows, 4096):
-            yield from _compare(table.slice(i, 4096), least, reach, k, False).to_batches(65536)
+        for i in range(0, table.num_rows, RUN):
+            yield from _compare(table.slice(i, RUN), least, reach, k, False).to_batches(65536)
 
     found = materialize(sorted_.mapInArrow(compare, "doc_id long, start long, end long, hash long"), "spans")
     # stretches of open runs meet by their hash

@@ -167,6 +167,15 @@ def test_suffix_repeats_among_altered_variants(spark, docs_of, share):
     assert got == plain_repeats(texts, 50)
 
 
+def test_suffix_repeats_of_a_run_over_several_tasks(spark, docs_of):
+    passage = prose(960, 60)
+    often = " ".join(f"{passage} {prose(9000 + i, 3)}" for i in range(1000))
+    texts = [often, " ".join([prose(1, 30), passage, prose(2, 30), passage, prose(3, 30)]), *(prose(20 + i, 100) for i in range(5))]
+    got = sorted((x["doc_id"], x["start"], x["end"]) for x in suffix_dedup.repeats(docs_of(texts)).collect())
+    assert got == plain_repeats(texts, 50)
+    assert len(got) == 1002
+
+
 def test_suffix_repeats_of_one_document_or_none(spark, docs_of):
     same = prose(1, 80)
     assert suffix_dedup.repeats(docs_of([same, same, None], ids=[4, 4, 5])).count() == 0
