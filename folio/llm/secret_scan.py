@@ -2,23 +2,32 @@
 
 The base patterns are assignments to sensitive names, access keys and long
 hexadecimal runs. The method adds spans of kind "novel": a run of key-like
-characters shortly behind a sensitive word is compressed by zstandard, primed
-with a dictionary of identifiers and the code around it; the bytes that it adds
-are its marginal cost, and a string that costs nearly its own length is
-reported. Whole texts are scanned, in one pass without a shuffle.
+characters that a sensitive word precedes is compressed by zstandard, primed
+with a dictionary of identifiers and the code before and behind it; the bytes that
+it adds are its marginal cost. Random characters of the same alphabet and length
+cost a known number of bytes there; a string that costs nearly as much is reported, so
+that hexadecimal or base32 keys, which always compress a little, count like any.
+Runs that read as words (few changes between capitals, small letters and digits)
+and runs without a letter are not secrets of this kind. Whole texts are scanned,
+in one pass without a shuffle and in time linear in the text.
 
 Defined cases: a null text is empty; ties and repeated rows are scanned like
 any row; a null doc_id is kept; an empty table gives an empty table; extra
-columns are ignored. Spans are code points, end exclusive.
+columns are ignored by scan() and kept by redact(), which sets n_chars (of any
+numeric type) where a text changed. Spans are code points, end exclusive.
 """
 
 from __future__ import annotations
 
+import bisect
+import functools
+import random
 import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ._shared import sliced, texts_of
 
@@ -29,7 +38,16 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so shorter ones drop out
 _ASSIGNED = ("password", "passwd", "secret", "token", "api_key", "apikey")
 #: Words that make the text behind them sensitive, in lower case.
 CONTEXT = ("password", "passwd", "passphrase", "secret", "token", "api_key", "apikey", "access_key", "private_key", "credential", "authorization", "bearer", "signature")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+_CONTEXT = re.compile("|".join(sorted(CONTEXT, key=len, reverse=True)))
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+LEAST = 12
+#: Stretches of one kind of character, as words and numbers have them.
+_PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+#: Alphabets of keys, the smaller ones first.
+ALPHABETS = ("0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz234567")
+ALPHABETS += ("abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+ALPHABETS += (ALPHABETS[-1] + "+/_=-",)
+_SETS = [frozenset(x) for x in ALPHABETS]
 #: The primer: what code around secrets usually says, and so costs little.
 IDENTIFIERS = (
     "const let var function return import from export default class static void public private protected string String int "
@@ -51,10 +69,21 @@ class Novelty:
         primer = zstandard.ZstdCompressionDict(identifiers.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.compress = zstandard.ZstdCompressor(level=level, dict_data=primer, write_checksum=False, write_content_size=False).compress
 
+        self.random = functools.lru_cache(1024)(lambda alphabet, n, turn: "".join(random.Random(n + turn).choices(ALPHABETS[alphabet], k=n)))
+
     def marginal(self, around: str, candidate: str) -> int:
+        """Bytes that the candidate adds behind the code around it."""
         around_ = around.encode("utf-8", "surrogatepass")
         return len(self.compress(around_ + candidate.encode())) - len(self.compress(around_))
 
+    def share(self, around: str, candidate: str, turns: int = 4) -> float:
+        """The candidate's marginal cost as a share of that of random characters of its alphabet at the same place."""
+        chars = set(candidate)
+        alphabet = next(i for i, x in enumerate(_SETS) if chars <= x)
+        turns = turns if len(candidate) <= 1024 else 1  # the cost of long ones varies little
+        expected = min(self.marginal(around, self.random(alphabet, len(candidate), i)) for i in range(turns))
+        return self.marginal(around, candidate) / max(1, expected)
+
 
 def base_spans(text: str, low: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the fixed patterns, in order."""
@@ -66,29 +95,41 @@ def base_spans(text: str, low: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def novel_spans(text: str, low: str, taken: list[tuple[int, int, int]], novelty: Novelty, reach: int = 64, around: int = 200, ratio: float = 0.75) -> list[tuple[int, int, int]]:
-    """Candidates within reach behind a sensitive word, clear of taken spans, that cost >= ratio bytes a character."""
+def like_words(run: str) -> bool:
+    """Whether a run reads as words and numbers: its stretches of one kind are long, or it has no letter."""
+    pieces = _PIECE.findall(run)
+    letters = sum(map(len, pieces)) - sum(len(p) for p in pieces if p[0] <= "9")
+    digits = any(p[0] <= "9" for p in pieces)
+    return not letters or len(run) > (7 if digits else 4) * len(pieces)
+
+
+def novel_spans(text: str, low: str, taken: list[tuple[int, int, int]], novelty: Novelty, reach: int = 64, around: int = 200, share: float = 0.9) -> list[tuple[int, int, int]]:
+    """Candidates up to reach behind a sensitive word, clear of taken spans, that cost at least `share` of random characters.
+
+    Each run of key-like characters is looked at once, from its last sensitive word
+    on if it holds one itself.
+    """
     if len(low) != len(text):  # lower-casing moved the positions
         low = re.sub("[A-Z]", lambda m: m[0].lower(), text)
-    found: set[tuple[int, int, int]] = set()
-    for word in CONTEXT:
-        at = low.find(word)
-        while at >= 0:
-            begin = at + len(word)
-            for m in CANDIDATE.finditer(text, begin, begin + reach + 512):
-                if m.start() > begin + reach:
-                    break
-                s, e = m.span()
-                if sum(map(str.isdigit, m[0])) < 2 or sum(map(str.isalpha, m[0])) < 4:
-                    continue
-                while e < len(text) and CANDIDATE.match(text[s : e + 1]) and len(CANDIDATE.match(text[s : e + 1])[0]) > e - s:
-                    e += 1  # the window may have cut a long run
-                if any(s < t_end and t < e for t, _, t_end in taken):
-                    continue
-                if novelty.marginal(text[max(0, s - around) : s], text[s:e]) >= ratio * (e - s):
-                    found.add((s, 3, e))
-            at = low.find(word, begin)
-    return sorted(found)
+    ends = [m.end() for m in _CONTEXT.finditer(low)]
+    starts = [s for s, _, _ in taken]
+    found = []
+    for m in CANDIDATE.finditer(text) if ends else ():
+        s, e = m.span()
+        last = bisect.bisect_right(ends, e - LEAST) - 1
+        if last < 0 or s - ends[last] > reach:
+            continue
+        s = max(s, ends[last])
+        while s < e and text[s] in "+/_=-":
+            s += 1
+        if e - s < LEAST:
+            continue
+        before = bisect.bisect_left(starts, e) - 1  # taken spans in order of their start
+        if any(s < t_end for _, _, t_end in taken[max(0, before - 8) : before + 1]) or like_words(text[s:e]):
+            continue
+        if novelty.share(text[max(0, s - around) : s] + text[e : e + around], text[s:e]) >= share:
+            found.append((s, 3, e))
+    return found
 
 
 def spelt(spans: list[tuple[int, int, int]]) -> str:
@@ -118,7 +159,7 @@ def scan(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """docs with each found span replaced by "[kind]" in text, overlapping ones as the first; n_chars follows where text changed."""
     schema, names = docs.schema, docs.columns
-    at, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+    at, chars = names.index("text"), names.index("n_chars") if "n_chars" in names and isinstance(schema["n_chars"].dataType, NumericType) else None
 
     def clean(text: str, novelty: Novelty) -> str:
         low = text.lower()
@@ -140,7 +181,7 @@ def redact(docs: DataFrame) -> DataFrame:
             columns[at] = pa.array(made, pa.string())
             if chars is not None:
                 kept = batch.column(chars).to_pylist()
-                columns[chars] = pa.array([k if a == b else len(b) for k, a, b in zip(kept, texts, made, strict=True)], pa.int64())
+                columns[chars] = pa.array([k if a == b else len(b) for k, a, b in zip(kept, texts, made, strict=True)], batch.schema.field(chars).type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return docs.mapInArrow(run, schema)

@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import string
+import time
 import zlib
 from collections import Counter
 
@@ -184,10 +186,36 @@ def test_secret_scan_equals_the_rule(spark, docs_of, save):
     assert SECRETS[12][s:e] == KEY
 
 
-def test_novelty_prefers_the_incompressible():
+KEYS = {"hex": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base62": string.ascii_letters + string.digits, "letters": string.ascii_letters}
+
+
+def novel(text):
+    return secret_scan.novel_spans(text, text.lower(), secret_scan.base_spans(text, text.lower()), secret_scan.Novelty())
+
+
+@pytest.mark.parametrize("kind", list(KEYS))
+def test_random_keys_of_any_alphabet_are_novel(kind):
+    r = random.Random(7)
+    for n in (16, 24, 40, 128, 512, 4096):
+        keys = ["".join(r.choices(KEYS[kind], k=n)) for _ in range(40)]
+        hits = sum(novel(f"header: bearer {k} and some code behind it") == [(15, 3, 15 + n)] for k in keys)
+        assert hits >= (36 if kind != "letters" else 32), (kind, n)
+
+
+def test_names_and_repeats_are_not_novel():
+    for t in ("token getAccessTokenFromRequest", "secret AbstractSingletonProxyFactoryBean", "password reset_confirmation_2024_final", "bearer internationalization", "token 123456789012345", "token " + "xyz" * 20):
+        assert novel(t) == [], t
     n = secret_scan.Novelty()
     assert n.marginal("header ", KEY) > n.marginal("header ", "access_token_refresh")
     assert n.marginal(f"see {KEY} again ", KEY) < len(KEY) / 2
+    assert novel(f"bearer {KEY}; // {KEY}") == []  # the code behind it says it again
+    assert novel(f"access_token_{KEY}") == [(13, 3, 13 + len(KEY))]  # a run is looked at once
+
+
+def test_novelty_takes_time_in_proportion_to_the_text():
+    r, begun = random.Random(3), time.perf_counter()
+    text = "bearer " + "".join(r.choices(KEYS["base62"], k=1 << 20))
+    assert novel(text) == [(7, 3, len(text))] and time.perf_counter() - begun < 5
 
 
 def test_redaction(spark, docs_of):
@@ -196,7 +224,14 @@ def test_redaction(spark, docs_of):
     assert secret_scan.redact(docs).schema == docs.schema
     assert got[1]["text"] == "[assign]" and got[1]["n_chars"] == 8 and got[0]["text"] == SECRETS[0] and got[16]["text"] is None
     assert all(not plain_base(r["text"] or "") for r in got.values())
-    assert secret_scan.redact(docs.limit(0)).count() == 0
+    assert secret_scan.redact(docs.limit(0)).count() == secret_scan.scan(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["int", "short", "double", "decimal(12,0)", "string"])
+def test_redaction_keeps_the_type_of_n_chars(spark, docs_of, kind):
+    docs = docs_of([SECRETS[1], "clean", SECRETS[1], None], ids=[1, 2, 1, None]).withColumn("n_chars", F.col("n_chars").cast(kind)).withColumn("spans", F.lit("clash"))
+    got = secret_scan.redact(docs)
+    assert got.schema == docs.schema and sorted(int(r["n_chars"]) for r in got.collect()) == ([0, 5, 8, 8] if kind != "string" else [0, 5, 15, 15])
 
 
 # --- source mix ------------------------------------------------------------------------
