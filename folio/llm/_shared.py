@@ -7,14 +7,14 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.plans.components import Forest, components, materialize
+from folio.plans.components import Forest, components, discard, materialize
 
 #: White space of the word contracts: everything else belongs to a word.
 SPACES = "\x09\x0a\x0b\x0c\x0d\x20"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-__all__ = ["Forest", "components", "materialize"]
+__all__ = ["Forest", "components", "discard", "materialize"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

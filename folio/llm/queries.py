@@ -15,13 +15,13 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.array("source").alias("_sources"), source_mix.words(F.col("text")).alias("_size"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.array("source").alias("sources"), source_mix.words(F.col("text")).alias("size"))
     docs = materialize(docs, "sizes")
-    sizes = {r["source"]: r["n"] for r in docs.groupBy("source").agg(F.sum("_size").alias("n")).collect()}
+    sizes = {r["source"]: r["n"] for r in docs.groupBy("source").agg(F.sum("size").alias("n")).collect()}
     quotas = source_mix.targets(sizes)
     order = source_mix.by_code_point(sizes)
     known = pa.table({"of": pa.array(order, pa.string()), "source_size": pa.array([sizes[s] for s in order], pa.int64()), "target": pa.array([quotas[s] for s in order], pa.float64())})
-    mixed = source_mix.mix(docs, quotas).apply(docs.withColumn("size", F.col("_size")))
+    mixed = source_mix.mix(docs, quotas).apply(docs, F.col("size"), F.col("sources"))
     return mixed.join(spark.createDataFrame(known), F.col("of").eqNullSafe(F.col("source"))).select("doc_id", "size", "source_size", "target", "taken")
 
 

@@ -6,14 +6,14 @@ pattern's words once for free and again at a convex cost, so repeats are used
 last and evenly. Of a pattern's flow, whole passes go to every document; for
 the part of a pass that is left, documents are taken in the order of a seeded
 hash up to a cut that histograms of the hash locate, and a few best-fitting
-documents close the gap. Only sums by pattern and by hash bucket reach the
-driver; their number depends on the sources, not on the documents.
+documents close the gap. Only a few numbers a pattern reach the driver; how many
+patterns there are depends on the sources, not on the documents.
 
 Defined cases: a null or empty sources array or text is allowed (no source: not
 taken; no words: taken 0); a null source is a source of its own, ordered last;
 repeated rows are documents of their own and share their hash; a null doc_id
-has a fixed hash; an empty table gives an empty table; extra columns stay in
-place in apply().
+has a fixed hash; an empty table gives an empty table; extra columns of any
+name stay in place in apply(), but for one called `taken`, which the result replaces.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ._shared import WORD
 
@@ -106,31 +107,30 @@ class Plan:
     is one of the few documents chosen to close the gap.
     """
 
-    def __init__(self, names: list[str], passes: list[int], cut, chosen: list[list], most: int, seed: int):
-        self.names, self.passes, self.cut, self.chosen, self.most, self.seed = names, passes, cut, chosen, most, seed
+    def __init__(self, names: list[str], passes: list[int], left: np.ndarray, most: int, seed: int):
+        self.names, self.passes, self.left, self.most, self.seed = names, passes, left, most, seed
+        self.cut = np.zeros(len(names), np.int64)
+        self.chosen: list[list[str]] = [[] for _ in names]
 
     def keyed(self, rows: DataFrame) -> DataFrame:
-        """rows(doc_id, _size, _sources, ...) with the number of their pattern and their hash."""
-        index = pa.table({"_pattern": pa.array(self.names, pa.string()), "_p": pa.array(range(len(self.names)), pa.int32())})
-        rows = rows.withColumns({"_pattern": pattern(F.col("_sources")), "_u": F.pmod(F.xxhash64(F.lit(self.seed), "doc_id"), F.lit(1 << 2 * _BITS))})
-        return rows.join(rows.sparkSession.createDataFrame(index), "_pattern")
-
-    @staticmethod
-    def at(values) -> Column:
-        """The row's pattern's own value."""
-        return F.element_at(F.array(*(F.lit(int(v)) for v in values)), F.col("_p") + 1)
-
-    def is_chosen(self) -> Column:
-        marks = [f"{p}:{d}" for p, ds in enumerate(self.chosen) for d in ds]
-        return F.concat_ws(":", "_p", "doc_id").isin(marks) if marks else F.lit(False)
-
-    def apply(self, rows: DataFrame) -> DataFrame:
-        """rows(doc_id, _size, _sources, ...) with taken instead of the columns that begin with an underscore."""
-        if not self.names:
-            return rows.drop("_size", "_sources").withColumn("taken", F.lit(0).cast("long"))
-        extra = (F.col("_u") < self.at(self.cut)) | self.is_chosen()
-        passes = F.least(F.when(extra, 1).otherwise(0) + self.at(self.passes), F.lit(self.most))
-        return self.keyed(rows).withColumn("taken", (F.coalesce("_size", F.lit(0)) * passes).cast("long")).drop("_size", "_sources", "_pattern", "_p", "_u")
+        """rows(doc_id, size, sources, ...) with their pattern's number p, passes, cut and left, their hash u and whether they are chosen.
+
+        The plan is a table of one row a pattern, so Spark sees its size and picks the join.
+        """
+        spark = rows.sparkSession
+        known = pa.table({"pattern": pa.array(self.names, pa.string()), "p": pa.array(range(len(self.names)), pa.int64()), "passes": pa.array(self.passes, pa.int64()), "cut": pa.array(self.cut, pa.int64()), "left": pa.array(self.left, pa.int64())})
+        picked = [(p, d) for p, ds in enumerate(self.chosen) for d in ds]
+        picked = pa.table({"p": pa.array([p for p, _ in picked], pa.int64()), "id": pa.array([d for _, d in picked], pa.string()), "chosen": pa.array([True] * len(picked), pa.bool_())})
+        rows = rows.withColumns({"pattern": pattern(F.col("sources")), "id": F.col("doc_id").cast("string"), "u": F.pmod(F.xxhash64(F.lit(self.seed), "doc_id"), F.lit(1 << 2 * _BITS))})
+        rows = rows.join(spark.createDataFrame(known), "pattern", "left")
+        return rows.join(spark.createDataFrame(picked), ["p", "id"], "left").withColumn("chosen", F.coalesce("chosen", F.lit(False)))
+
+    def apply(self, rows: DataFrame, size: Column, sources: Column) -> DataFrame:
+        """rows with a last column `taken`; an input column of that name goes, all others stay whatever their names."""
+        whole = F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in rows.columns if c.lower() != "taken"))
+        keyed = self.keyed(rows.select(whole.alias("row"), F.col("doc_id"), size.alias("size"), sources.alias("sources")))
+        passes = F.least(((F.col("u") < F.col("cut")) | F.col("chosen")).cast("long") + F.col("passes"), F.lit(self.most))
+        return keyed.select("row.*", F.coalesce(F.col("size") * passes, F.lit(0)).cast("long").alias("taken"))
 
 
 def pattern(sources: Column) -> Column:
@@ -138,12 +138,12 @@ def pattern(sources: Column) -> Column:
 
 
 def mix(rows: DataFrame, quotas: dict, most: int = 3, seed: int = 42, rounds: int = 5) -> Plan:
-    """The plan that takes about quotas[source] words of each source from rows(doc_id, _size, _sources array<string>).
+    """The plan that takes about quotas[source] words of each source from rows(doc_id, size, sources array<string>).
 
     rows is read a few times, so give a written table. No row is taken more than `most` times.
     """
-    rows = rows.select("doc_id", F.coalesce("_size", F.lit(0)).cast("long").alias("_size"), "_sources")
-    sums = {r["p"]: r["n"] for r in rows.groupBy(pattern(F.col("_sources")).alias("p")).agg(F.sum("_size").alias("n")).collect()}
+    rows = rows.select("doc_id", F.coalesce("size", F.lit(0)).cast("long").alias("size"), "sources")
+    sums = {r["p"]: r["n"] for r in rows.groupBy(pattern(F.col("sources")).alias("p")).agg(F.sum("size").alias("n")).collect()}
     names = sorted(sums)
     sets = [frozenset(json.loads(p)) for p in names]
     sizes = dict(zip(sets, (sums[p] for p in names), strict=True))
@@ -152,30 +152,25 @@ def mix(rows: DataFrame, quotas: dict, most: int = 3, seed: int = 42, rounds: in
         taken[p] += n
     passes = [taken[p] // sizes[p] if sizes[p] else 0 for p in sets]
     left = np.array([taken[p] - k * sizes[p] for p, k in zip(sets, passes, strict=True)], np.int64)
-    plan = Plan(names, passes, np.zeros(len(names), np.int64), [[] for _ in names], most, seed)
+    plan = Plan(names, passes, left, most, seed)
     if not names:
         return plan
-    keyed = plan.keyed(rows)
     # the cut of each pattern's hash: coarse buckets, then those inside the coarse bucket that holds it
     for shift in (_BITS, 0):
-        inside = keyed.where(F.col("_u").between(plan.at(plan.cut), plan.at(plan.cut) + ((1 << shift + _BITS) - 1)))
-        sums_: dict = defaultdict(list)
-        for r in inside.groupBy("_p", F.shiftright("_u", shift).alias("bucket")).agg(F.sum("_size").alias("n")).collect():
-            sums_[r["_p"]].append((r["bucket"], r["n"]))
+        inside = plan.keyed(rows).where(F.col("u").between(F.col("cut"), F.col("cut") + ((1 << shift + _BITS) - 1)))
+        buckets = inside.groupBy("p", F.shiftright("u", shift).alias("bucket")).agg(F.sum("size").alias("n"), F.first("left").alias("left"))
+        buckets = buckets.withColumn("upto", F.sum("n").over(Window.partitionBy("p").orderBy("bucket")))
+        fits = F.col("upto") <= F.col("left")
+        found = {r["p"]: r for r in buckets.groupBy("p").agg(F.min(F.when(~fits, F.col("bucket"))).alias("bucket"), F.sum(F.when(fits, F.col("n")).otherwise(0)).alias("n")).collect()}
         for p in range(len(names)):
-            for bucket, n in sorted(sums_[p]):
-                if n > left[p]:
-                    plan.cut[p] = bucket << shift
-                    break
-                left[p] -= n
-            else:
-                plan.cut[p] += 1 << shift + _BITS
+            bucket = found[p]["bucket"] if p in found else None
+            plan.cut[p] = bucket << shift if bucket is not None else plan.cut[p] + (1 << shift + _BITS)
+            plan.left[p] -= found[p]["n"] if p in found else 0
     for turn in range(rounds + 1):  # the largest document that fits; at last one that may run over
-        room = plan.at(left)
-        gap = room - F.col("_size") if turn < rounds else F.abs(F.col("_size") - room)
-        open_ = keyed.where((F.col("_u") >= plan.at(plan.cut)) & (F.col("_size") > 0) & gap.between(F.lit(0), room - 1) & F.col("doc_id").isNotNull() & ~plan.is_chosen())
-        best = open_.groupBy("_p").agg(F.min(F.struct(gap.alias("gap"), "_u", "doc_id", "_size")).alias("b")).collect()
+        gap = F.col("left") - F.col("size") if turn < rounds else F.abs(F.col("size") - F.col("left"))
+        open_ = plan.keyed(rows).where((F.col("u") >= F.col("cut")) & (F.col("size") > 0) & gap.between(F.lit(0), F.col("left") - 1) & F.col("doc_id").isNotNull() & ~F.col("chosen"))
+        best = open_.groupBy("p").agg(F.min(F.struct(gap.alias("gap"), "u", "doc_id", "size")).alias("b")).collect()
         for r in best:
-            plan.chosen[r["_p"]].append(r["b"]["doc_id"])
-            left[r["_p"]] = max(0, left[r["_p"]] - r["b"]["_size"])
+            plan.chosen[r["p"]].append(str(r["b"]["doc_id"]))
+            plan.left[r["p"]] = max(0, plan.left[r["p"]] - r["b"]["size"])
     return plan
