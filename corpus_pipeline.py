@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm import decontaminate, quality, secret_scan, simhash, source_mix
-from folio.llm._shared import materialize, table
+from folio.llm._shared import discard, materialize, table
 
 #: A document stays from this probability of good quality.
 QUALITY = 0.3
@@ -36,11 +36,12 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    sized = docs.drop("taken").withColumns({"_sources": F.array("source"), "_size": source_mix.words(F.col("text"))})
-    sizes = materialize(sized.select("doc_id", "source", "_sources", "_size"), "sizes")
-    totals = {r["source"]: r["n"] for r in sizes.groupBy("source").agg(F.sum("_size").alias("n")).collect()}
+    size, sources = source_mix.words(F.col("text")), F.array("source")
+    sizes = materialize(docs.select("doc_id", "source", size.alias("size"), sources.alias("sources")), "sizes")
+    totals = {r["source"]: r["n"] for r in sizes.groupBy("source").agg(F.sum("size").alias("n")).collect()}
     plan = source_mix.mix(sizes, source_mix.targets(totals))
-    return plan.apply(sized).where("taken > 0")
+    discard(sizes)
+    return plan.apply(docs, size, sources).where("taken > 0")
 
 
 STAGES = [
@@ -56,7 +57,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
