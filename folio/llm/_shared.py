@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,3 +59,23 @@ def in_slices(items: list, size_of, most: int) -> Iterator[tuple[int, int]]:
         total += n
     if items:
         yield start, len(items)
+
+
+def hashed_words(raw: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash for each word of the bytes raw, and the byte where it begins; gap: the bytes between words."""
+    if not len(raw):
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], gap, [True])).view(np.int8)))
+    starts = edge[::2]
+    if not len(starts):
+        return np.empty(0, np.uint64), starts
+    # bytes weigh by their place in the word: the running place, less the word's start
+    place = np.arange(len(raw))
+    place[starts[0] :] -= np.repeat(starts, np.diff(np.append(starts, len(raw))))
+    weight = (place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
+    value = (raw.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = np.where(gap, np.uint64(0), (value ^ (value >> np.uint64(31))) * weight)
+    h = np.add.reduceat(mixed, starts)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xE7037ED1A0B428DB)
+    return h ^ (h >> np.uint64(29)), starts

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import SPACES, materialize, sliced, texts_of
+from ._shared import SPACES, hashed_words, materialize, sliced, texts_of
 
 #: A run of so many suffixes is not held whole; its stretches meet by their hash.
 RUN = 16384
@@ -45,23 +45,7 @@ _SPACE[[ord(c) for c in SPACES]] = True
 def word_hashes(text: str) -> np.ndarray:
     """A 64-bit hash for each word of the text."""
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    if not len(raw):
-        return np.empty(0, np.uint64)
-    gap = _SPACE[raw]
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], gap, [True])).view(np.int8)))
-    starts, ends = edge[::2], edge[1::2]
-    if not len(starts):
-        return np.empty(0, np.uint64)
-    # bytes weigh by their place in the word: the running place, less the word's start
-    place = np.arange(len(raw))
-    place[starts[0] :] -= np.repeat(starts, np.diff(np.append(starts, len(raw))))
-    weight = (place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
-    value = (raw.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    mixed = np.where(gap, np.uint64(0), (value ^ (value >> np.uint64(31))) * weight)
-    h = np.add.reduceat(mixed, starts)
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xE7037ED1A0B428DB)
-    return h ^ (h >> np.uint64(29))
+    return hashed_words(raw, _SPACE[raw])[0]
 
 
 def grams(words: np.ndarray, k: int) -> np.ndarray:

@@ -1,5 +1,6 @@
 """SimHash, embeddings, suffixes and benchmark search against brute force, and their edge cases."""
 
+import itertools
 import random
 import re
 from collections import defaultdict
@@ -7,6 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from folio.llm import decontaminate, embedding_dedup, queries, simhash, suffix_dedup
 from folio.llm._shared import Forest, components
@@ -57,17 +59,11 @@ def test_simhash_equals_brute_force(spark, docs_of):
     texts = near_texts()
     want = [plain_fingerprint(t) for t in texts]
     roots = plain_components(len(texts), lambda a, b: bin(want[a] ^ want[b]).count("1") <= 3)
-    got = {r["doc_id"]: r for r in simhash.group(docs_of(texts)).select("doc_id", simhash.hexed(_fp()).alias("fp"), "component_id").collect()}
+    got = {r["doc_id"]: r for r in simhash.group(docs_of(texts)).select("doc_id", simhash.hexed("fp").alias("fp"), "component_id").collect()}
     assert [got[i]["fp"] for i in range(len(texts))] == [f"{w:016x}" for w in want]
     assert [got[i]["component_id"] for i in range(len(texts))] == roots
 
 
-def _fp():
-    from pyspark.sql import functions as F
-
-    return F.col("fp")
-
-
 def test_simhash_tiles_change_nothing(spark):
     r = random.Random(1)
     fps = [r.getrandbits(64) for _ in range(150)]
@@ -196,32 +192,66 @@ def altered(text, every, r):
     return " ".join("changed" if i % every == every - 1 and r.random() < 0.9 else w for i, w in enumerate(words))
 
 
+def plain_holds(text, item, least=12, identity=0.8):
+    """Whether some window of `least` words of the item (or all of it) agrees in the share `identity` with words of the text."""
+    doc, words = (re.findall(r"\w+", (t or "").lower()) for t in (text, item))
+    m = min(least, len(words))
+    for shift in range(-len(words), len(doc)) if m else ():
+        same = [words[i] == doc[shift + i] if 0 <= shift + i < len(doc) else None for i in range(len(words))]
+        for k in range(len(words) - m + 1):
+            window = same[k : k + m]
+            if None not in window and sum(window) >= identity * m - 1e-9:
+                return True
+    return False
+
+
 def test_decontamination_tolerates_substitutions(spark, docs_of):
     r = random.Random(5)
     items = [prose(500 + i, 15 + 3 * i) for i in range(12)]
-    benchmark = spark.createDataFrame([(i, t) for i, t in enumerate(items)] + [(90, None), (91, ""), (92, "too short")], "item_id long, text string")
+    benchmark = spark.createDataFrame([(i, t) for i, t in enumerate(items)] + [(90, None), (91, ""), (92, "never said")], "item_id long, text string")
     texts = [prose(i, 80) + ", " + altered(items[i % 12].title(), 8, r) + ". " + prose(i + 60, 80) for i in range(24)]
-    clean = [prose(i, 150) for i in range(1000, 1030)] + [" ".join(items[3].split()[:6]), *EDGE]
-    docs = docs_of(texts + clean)
-    for most in (1_000_000, 100):
-        got = {(x["doc_id"], x["item_id"]) for x in decontaminate.find(docs, benchmark, most_words=most).collect()}
-        assert got == {(i, i % 12) for i in range(24)}
-        kept = decontaminate.keep(docs, benchmark, most_words=most)
-        assert sorted(x["doc_id"] for x in kept.collect()) == list(range(24, 24 + len(clean))) and kept.columns == docs.columns
+    clean = [prose(i, 150) for i in range(1000, 1030)] + [" ".join(items[3].split()[:6]), *EDGE, prose(7, 150_000)]
+    docs = docs_of(texts + clean).withColumns({"k1": F.lit(1), "item_id": F.lit("x"), "words": F.lit(2.0), "part": F.create_map(F.lit("a"), F.lit(1))})
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.find(docs, benchmark).collect()}
+    assert got == {(i, i % 12) for i in range(24)}
+    kept = decontaminate.keep(docs, benchmark)
+    assert sorted(x["doc_id"] for x in kept.collect()) == list(range(24, 24 + len(clean))) and kept.columns == docs.columns
     assert decontaminate.find(docs, benchmark.limit(0)).count() == 0
     assert decontaminate.find(docs.limit(0), benchmark).count() == 0
-
-
-def test_decontamination_of_any_two_replaced_words():
-    item = [f"w{i}" for i in range(12)]
-    index = decontaminate.Index([(1, " ".join(item))], 12, 0.8)
-    filters = index.filters()
-    for a in range(12):
-        for b in range(a):
-            words = [("zz" if i in (a, b) else w) for i, w in enumerate(item)]
-            found = index.search([" ".join(["left", *words, "right"])], filters)[0]
-            inside = not {a, b} & {0, 11}
-            assert bool(found) == inside, (a, b)  # a stretch begins and ends with agreeing words
+    assert decontaminate.keep(docs, benchmark.limit(0)).count() == docs.count()
+
+
+def test_decontamination_equals_brute_force(spark, docs_of):
+    """Items of 1 to 40 words, with any number of words replaced anywhere, at the ends of texts and inside, in pieces, with repeats and nulls."""
+    r = random.Random(9)
+    items = [" ".join(f"q{n}x{i}" for i in range(n)) for n in range(1, 41)] + ["q5x0 q5x1", "rep rep rep rep rep rep rep rep", "Ünï côdé – “wörds” ΑΒΓ"]
+    benchmark = spark.createDataFrame([*enumerate(items), (100, items[20]), (20, items[20]), (None, items[21])], "item_id long, text string")
+    texts = ["rep " * 30, "ünï CÔDÉ wörds αβγ", None, ""]
+    for _ in range(400):
+        words = r.choice(items).split()
+        cut = words[r.choice([0, 0, r.randrange(len(words))]) :][: r.choice([99, 99, 12, 11, 13])]
+        for _ in range(r.choice([0, 1, 2, 3, len(cut) // 6])):
+            if cut:
+                cut[r.choice([0, -1, r.randrange(len(cut))])] = "zz"
+        texts.append(" ".join([prose(r.randrange(10**6), r.choice([0, 5])), *cut, prose(r.randrange(10**6), r.choice([0, 5]))]))
+    ids = list(range(len(texts))) + [0, None]
+    texts += [texts[0], texts[0]]
+    want = {(i, j) for i, t in zip(ids, texts) for j, x in [*enumerate(items), (100, items[20]), (None, items[21])] if plain_holds(t, x)}
+    found = decontaminate.find(docs_of(texts, ids=ids), benchmark).collect()
+    assert {(x["doc_id"], x["item_id"]) for x in found} == want and len(found) == len(want)
+    bare = {i: re.findall(r"\w+", (t or "").lower()) for i, t in zip(ids, texts)}
+    for x in found:
+        assert 0 <= x["first_word"] < x["end_word"] <= len(bare[x["doc_id"]]) and x["matched"] <= x["end_word"] - x["first_word"]
+    kept = decontaminate.keep(docs_of(texts, ids=ids), benchmark)
+    assert sorted(x["doc_id"] for x in kept.collect()) == [i for i in range(len(texts) - 2) if not any(d == i for d, _ in want)]
+
+
+@pytest.mark.parametrize("identity", [0.6, 0.8, 0.9, 1.0])
+def test_masks_survive_any_replaced_words(identity):
+    for n in range(1, 14):
+        used = decontaminate.masks(n, identity)
+        for out in itertools.combinations(range(n), min(decontaminate.replaced(n, identity), n - 1)):
+            assert any(all(c == "0" or at + i not in out for i, c in enumerate(m)) for m in used for at in range(n - len(m) + 1)), (n, out)
 
 
 def test_longest_stretch():
