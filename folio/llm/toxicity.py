@@ -2,9 +2,11 @@
 
 A logistic model over the words of a text and their beginnings is fitted on the
 driver from a bounded sample of labelled texts. Every labelled text that names a
-group also appears with the names swapped for other groups' names; the squared
-change of its score is penalised, so that naming a group neutrally doesn't raise
-a score. Scoring is one pass over whole texts without a shuffle.
+group also appears with the names swapped for other groups' names, and every
+MENTIONED-th labelled text gets a name of a group put among its words, which is
+swapped likewise and learned under the text's own label; the squared changes of the
+scores are penalised, so that naming a group neutrally doesn't raise a score,
+whichever names the labelled texts hold. Scoring is one pass over whole texts without a shuffle.
 
 Defined cases: a null or empty text scores as a text without known words; ties
 and repeated rows score alike; a null doc_id is kept; without labels of both
@@ -27,8 +29,10 @@ from ._shared import sliced, texts_of
 
 #: At most so many documents of a class are learned from, by so many features.
 EACH, FEATURES = 1500, 1024
-#: A feature must part the classes by so many standard errors.
-SURE = 4.0
+#: A feature must part the classes by so many standard errors, or be so many times likelier in one class, in so many texts of it.
+SURE, LIKELIER, TEXTS = 4.0, 16.0, 8
+#: One in so many labelled texts gets a name of a group put among its words.
+MENTIONED = 4
 #: Names of groups, by what can stand for each other.
 IDENTITY = (
     ("women", "men", "girls", "boys", "mujeres", "hombres", "femmes", "hommes", "frauen", "männer"),
@@ -43,23 +47,30 @@ _WORD = re.compile(r"\w+")
 _BEGIN = 4
 
 
-def features(text: str) -> set[str]:
+def words_of(text: str) -> frozenset[str]:
+    return frozenset(_WORD.findall(text.lower()))
+
+
+def features(words: frozenset[str]) -> set[str]:
     """The distinct words, and each longer word's beginning (marked by a hyphen)."""
-    words = set(_WORD.findall(text.lower()))
     return words | {w[:_BEGIN] + "-" for w in words if len(w) > _BEGIN}
 
 
-def swapped(text: str, turn: int) -> str:
-    """text with each group's name replaced by the name `turn` places on."""
+def _other(term: str, turn: int) -> str:
+    g, i = _TERMS[term]
+    return IDENTITY[g][(i + turn) % len(IDENTITY[g])]
 
-    def other(m: re.Match) -> str:
-        g, i = _TERMS[m[0].lower()]
-        return IDENTITY[g][(i + turn) % len(IDENTITY[g])]
 
-    return _NAMES.sub(other, text)
+def swapped(words: frozenset[str], turn: int) -> frozenset[str]:
+    """The words with each group's name replaced by the name `turn` places on."""
+    return frozenset(_other(w, turn) if w in _TERMS else w for w in words)
 
 
-_NAMES = re.compile(rf"\b(?:{'|'.join(sorted(_TERMS, key=len, reverse=True))})\b", re.IGNORECASE)
+def mentioning(words: frozenset[str], i: int) -> frozenset[str]:
+    """The words and a name of a group that is not among them; i chooses it."""
+    group = IDENTITY[i % len(IDENTITY)]
+    free = [t for t in group if t not in words] or list(group)
+    return words | {free[i // len(IDENTITY) % len(free)]}
 
 
 class Model:
@@ -69,7 +80,7 @@ class Model:
         self.begins = frozenset(f[:-1] for f in weights if f.endswith("-"))
 
     def logit(self, text: str) -> float:
-        words = set(_WORD.findall(text.lower()))
+        words = words_of(text)
         known = [*(words & self.words), *(b + "-" for b in {w[:_BEGIN] for w in words if len(w) > _BEGIN} & self.begins)]
         return self.bias + sum(self.weights[f] for f in sorted(known))
 
@@ -80,7 +91,7 @@ class Model:
 _sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
-def _weights(texts: list[str], found: list[set[str]], y: np.ndarray, steps: int, penalty: float, shrink: float, swaps: int) -> Model:
+def _weights(texts: list[frozenset[str]], found: list[set[str]], y: np.ndarray, steps: int, penalty: float, shrink: float, swaps: int) -> Model:
     """Balanced logistic loss + penalty * squared score changes under swaps + shrink * squared weights, by Adam."""
     ones = [Counter(), Counter()]
     for f, k in zip(found, y.tolist(), strict=True):
@@ -93,9 +104,19 @@ def _weights(texts: list[str], found: list[set[str]], y: np.ndarray, steps: int,
 
     known = [f for f in set(ones[0]) | set(ones[1]) if ones[0][f] + ones[1][f] >= 3]
     ranked = sorted(((told(f), f) for f in known), key=lambda x: (-x[0], x[1]))[:FEATURES]
-    chosen = [f for z, f in ranked if z >= SURE] or [f for _, f in ranked[:32]]  # chance alone reaches SURE for few of many words
+
+    def one_sided(f: str) -> bool:
+        rates = [(ones[k][f] + 0.5) / n[k] for k in (0, 1)]
+        k = int(rates[1] > rates[0])
+        return ones[k][f] >= TEXTS and rates[k] >= LIKELIER * rates[1 - k]
+
+    chosen = [f for z, f in ranked if z >= SURE or one_sided(f)] or [f for _, f in ranked[:32]]  # chance alone reaches SURE for few of many words
     groups = {f for t in _TERMS for f in (t, *([t[:_BEGIN] + "-"] if len(t) > _BEGIN else []))}
     names = list(dict.fromkeys([*chosen, *sorted(groups)]))
+    told_apart = [i for k in (0, 1) for i in np.flatnonzero(y == k)[::MENTIONED].tolist()]
+    texts = [*texts, *(mentioning(texts[i], j) for j, i in enumerate(told_apart))]
+    found, y = [*found, *map(features, texts[len(found) :])], np.concatenate((y, y[told_apart]))
+    n = [int((y == k).sum()) for k in (0, 1)]
     at = {f: i for i, f in enumerate(names)}
 
     def rows(sets: list[set[str]]) -> np.ndarray:
@@ -105,8 +126,9 @@ def _weights(texts: list[str], found: list[set[str]], y: np.ndarray, steps: int,
         return out
 
     x = rows(found)
-    naming = [i for i, t in enumerate(texts) if _NAMES.search(t)]
+    naming = [i for i, t in enumerate(texts) if not _TERMS.keys().isdisjoint(t)]
     pairs = [rows([features(swapped(texts[i], k)) for i in naming]) for k in range(1, swaps + 1)] if naming else []
+    own = x[naming]
     w = {"w": np.zeros(len(names), np.float32), "b": np.zeros(1, np.float32)}
     adam = Adam(w, 0.05)
     balance = np.where(y == 1, 0.5 / n[1], 0.5 / n[0]).astype(np.float32)
@@ -116,7 +138,6 @@ def _weights(texts: list[str], found: list[set[str]], y: np.ndarray, steps: int,
         d = (_sigmoid(x @ w["w"] + w["b"][0]) - y) * balance
         g = {"w": x.T @ d + shrink * w["w"], "b": np.array([d.sum()], np.float32)}
         for other in pairs:
-            own = x[naming]
             p, q = _sigmoid(own @ w["w"] + w["b"][0]), _sigmoid(other @ w["w"] + w["b"][0])
             dp, dq = 2 * (p - q) * p * (1 - p), 2 * (p - q) * q * (1 - q)
             scale = penalty / (len(naming) * len(pairs))
@@ -149,8 +170,9 @@ def fit(texts: list[str], y: list[int], rate: float, steps: int = 200, penalty:
     if len(set(y)) < 2:
         return Model({}, 0.0, rate)
     rate = min(max(rate, 1e-6), 1 - 1e-6)
-    found, rule = [features(t) for t in texts], (steps, penalty, shrink, swaps)
-    model = _weights(texts, found, y_, *rule)
+    words = [words_of(t) for t in texts]
+    found, rule = [features(w) for w in words], (steps, penalty, shrink, swaps)
+    model = _weights(words, found, y_, *rule)
     z, part_of = np.zeros(len(y)), np.zeros(len(y), int)
     for k in (0, 1):
         at = np.flatnonzero(y_ == k)
@@ -159,7 +181,7 @@ def fit(texts: list[str], y: list[int], rate: float, steps: int = 200, penalty:
         own, other = np.flatnonzero(part_of != side), np.flatnonzero(part_of == side)
         if len(set(y_[own].tolist())) < 2 or not len(other):
             return model
-        part = _weights([texts[i] for i in own], [found[i] for i in own], y_[own], *rule)
+        part = _weights([words[i] for i in own], [found[i] for i in own], y_[own], *rule)
         z[other] = [part.logit(texts[i]) for i in other]
     slope, offset = _scaling(z, y_, rate)
     return Model({f: slope * v for f, v in model.weights.items()}, slope * model.bias + offset)

@@ -91,11 +91,28 @@ def test_toxicity_learns_and_ignores_groups():
     loose = toxicity.fit(texts, y, 1 / 3, penalty=0.0)
     plain = prose(999, 40)
     change = lambda m: abs(m.score(plain + " muslim") - m.score(plain + " christian"))
-    assert change(model) <= change(loose) + 1e-9 and model.score(plain + " muslim") < 0.5
-    assert toxicity.swapped("The Muslim and gay men", 1) == "The christian and lesbian girls"
+    assert change(model) < 0.7 * change(loose) and model.score(plain + " muslim") < 0.5
+    assert toxicity.swapped(toxicity.words_of("The Muslim and gay men"), 1) == {"the", "christian", "and", "lesbian", "girls"}
     assert all(0 <= model.score(t or "") <= 1 for t in EDGE)
 
 
+def test_toxicity_swaps_names_that_no_text_holds():
+    rows = [(prose(i, 40) + (" vilez grokk" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(150)]
+    texts, y = [t for t, _ in rows], np.array([k for _, k in rows])
+    put = toxicity.mentioning(toxicity.words_of("one two three"), 1)
+    assert len(put) == 4 and len(put & set(toxicity.IDENTITY[1])) == 1 and toxicity.swapped(put, 1) != put
+    words = [toxicity.words_of(t) for t in texts]
+    assert all(toxicity._TERMS.keys().isdisjoint(w) for w in words)
+    # without the names balanced by hand, one class mentions a group: the penalty has rows and bites
+    biased = [w | {"muslim"} if k and i % 6 == 0 else w for i, (w, k) in enumerate(zip(words, y, strict=True))]
+    gap = lambda m: abs(m.logit(prose(5000, 30) + " muslim") - m.logit(prose(5000, 30) + " hindu"))
+    weights = [toxicity._weights(biased, [toxicity.features(t) for t in biased], y, 200, p, 1e-5, 2) for p in (0.0, 1.0, 100.0)]
+    assert gap(weights[2]) < gap(weights[1]) < gap(weights[0])
+    plain = [toxicity._weights(words, [toxicity.features(w) for w in words], y, 200, p, 1e-5, 2) for p in (0.0, 100.0)]
+    spread = lambda m: max(m.weights.get(t, 0.0) for t in toxicity.IDENTITY[1]) - min(m.weights.get(t, 0.0) for t in toxicity.IDENTITY[1])
+    assert spread(plain[1]) < spread(plain[0])
+
+
 def test_one_class_or_none_scores_the_rate():
     assert toxicity.fit(["a"], [1], 0.7).score("b") == 0.7
     net = quality.fit([], [], 0.5)
@@ -135,8 +152,8 @@ def test_language_mixtures():
     assert names == [x for x in TONGUES for _ in range(10)] and min(scores) > 0.9
     share = model.shares([speech("aa", 1, 120) + " " + speech("bb", 2, 60)])[0]
     assert share[0] == pytest.approx(2 / 3, abs=0.12) and share[1] == pytest.approx(1 / 3, abs=0.12) and share[2] < 0.05
-    names, scores = model.predict(["", "12 34 !", "é", speech("cc", 5), "  "])
-    assert names[:2] == ["und", "und"] and scores[0] == 0 and names[2] in TONGUES and names[3] == "cc" and names[4] == "und"
+    names, scores = model.predict(["", "12 34 !", "é", speech("cc", 5), "  ", "² ½ Ⅷ ① ٣"])
+    assert names[:2] == ["und", "und"] and scores[0] == 0 and names[2] in TONGUES and names[3] == "cc" and names[4:] == ["und", "und"]
     # a text gets the same answer alone and among others
     many = [speech(x, 300 + i, 5 + i) for x in TONGUES for i in range(12)]
     assert [model.predict([t])[0][0] for t in many] == model.predict(many)[0]
@@ -150,6 +167,8 @@ def test_language_query(spark, save):
     assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in got.items())
     assert np.mean([got[i]["lang_pred"] == list(TONGUES)[i % 3] for i in range(120)]) >= 0.97
     assert {got[i]["lang_pred"] for i in (900, 901, 902)} == {"und"}
+    bounded = langid.train(spark.read.parquet(f"{at}/documents.parquet").withColumns({"n": F.lit("x"), "at": F.lit("y")}), each=1)
+    assert bounded.names == list(TONGUES)
     nothing = save(documents=spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string"))
     assert [r["lang_pred"] for r in queries.op9_language_id(spark, nothing).collect()] == ["und"]
 
