@@ -8,7 +8,7 @@ dropped while the likelihood, penalised by half a log of the units for each
 language, doesn't fall. The largest share names the language. Whole texts, one
 pass, no shuffle.
 
-Defined cases: a null text, or one without a letter, is "und" with score 0; so
+Defined cases: a null text, or one without a letter, (str.isalpha) is "und" with score 0; so
 is everything when no labelled text could be learned from. Ties go to the first
 language by name; repeated rows get the same answer; a null doc_id is kept; an
 empty table gives an empty table; extra columns are ignored.
@@ -16,20 +16,18 @@ empty table gives an empty table; extra columns are ignored.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ._shared import fold, in_slices, sliced, texts_of
+from ._shared import discard, fold, in_slices, materialize, sliced, texts_of
 
 #: At most so many documents of a language are learned from.
 EACH = 800
 BUCKETS = 1 << 16
 UNIT = 4
-_LETTER = re.compile(r"[^\W\d_]")
 _INSIDE = np.zeros(256, bool)
 _INSIDE[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
@@ -107,7 +105,7 @@ class Model:
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         names, scores = ["und"] * len(texts), [0.0] * len(texts)
-        lettered = [i for i, t in enumerate(texts) if _LETTER.search(t)] if self.names else []
+        lettered = [i for i, t in enumerate(texts) if any(map(str.isalpha, t))] if self.names else []
         for a, b in in_slices(lettered, lambda i: len(texts[i]), 1 << 19):
             share = self.shares([texts[i] for i in lettered[a:b]])
             for i, at, top in zip(lettered[a:b], share.argmax(1).tolist(), share.max(1).tolist(), strict=True):
@@ -132,16 +130,14 @@ def fit(texts: list[str], langs: list[str], smooth: float = 0.05) -> Model:
 def train(docs: DataFrame, folds: int = 4, left_out: int = 2, each: int = EACH, most_bytes: int = 1 << 16) -> Model:
     """Fit on at most `each` texts of a language, those of least hash; texts of over most_bytes bytes are not learned from."""
     usable = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (fold(F.col("doc_id"), folds) != left_out))
-    names = sorted(r["lang"] for r in usable.select("lang").distinct().collect())
-    if not names:
-        return Model([], np.zeros((BUCKETS, 0), np.float32))
-    keys = usable.where(F.octet_length("text") <= most_bytes).select("doc_id", "lang")
-    parts = [keys.where(F.col("lang") == x).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(each) for x in names]
-    ids = parts[0]
-    for p in parts[1:]:
-        ids = ids.union(p)
-    # at most `each` numbers for each language
-    rows = sorted((r["lang"], r["text"]) for r in usable.join(F.broadcast(ids.distinct()), "doc_id").select("lang", "text").collect())
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "at")
+    keys = usable.where(F.octet_length("text") <= most_bytes).select("lang", "doc_id", F.xxhash64("text").alias("at"))
+    # every task keeps its first `each` rows of a language before they are dealt
+    ids = materialize(keys.withColumn("n", F.row_number().over(first)).where(F.col("n") <= each).drop("n"), "sample")
+    texts = usable.where(F.octet_length("text") <= most_bytes).withColumn("at", F.xxhash64("text"))
+    rows = texts.join(ids.distinct(), ["lang", "doc_id", "at"]).select("lang", "text", "doc_id").distinct().select("lang", "text").toArrow()
+    rows = sorted(zip(rows.column("lang").to_pylist(), rows.column("text").to_pylist(), strict=True))
+    discard(ids)
     return fit([r[1] for r in rows], [r[0] for r in rows])
 
 
