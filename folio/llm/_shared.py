@@ -43,6 +43,23 @@ def sliced(batches, rows: int = 256):
         pass
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns, whatever their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def join_spread(rows: DataFrame, keys: DataFrame, on: list[str], copies: str, how: str = "left") -> DataFrame:
+    """rows joined with keys, which has one row for each value of `on` and in `copies` how many rows hold it.
+
+    Keys that a 1,024th of all rows or more hold, at most 1,024 of them, go to
+    every task, so that none of their rows is dealt by key; the others are joined as usual.
+    """
+    common = F.col(copies) * 1024 >= rows.count()
+    hot = F.broadcast(keys.where(common).drop(copies))
+    rest = rows.join(hot.select(*on), on, "left_anti").join(keys.where(~common).drop(copies), on, how)
+    return rows.join(hot, on).unionByName(rest)
+
+
 def texts_of(batch, name: str) -> list[str]:
     """A text column of an Arrow batch, null as the empty text."""
     return [t or "" for t in batch.column(name).to_pylist()]

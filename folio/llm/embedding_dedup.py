@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Forest, components, materialize
+from ._shared import Forest, components, join_spread, materialize
 
 #: At most so many vectors are learned from, for this many rows a cell.
 SAMPLE, CELL = 16384, 4096
@@ -152,12 +152,12 @@ def group(vectors: DataFrame, threshold: float = 0.9, tile: int = 4096) -> DataF
         part = _links(classes.where(F.size("embedding") == w).select("id", "copies", "embedding"), w, threshold, tile)
         counted = part if counted is None else counted.union(part)
     if counted is None:
-        named = classes.select("embedding", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+        named = classes.select("embedding", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), "copies")
     else:
         counted = materialize(counted, "links")
         found = components(counted.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "id")
         sums = counted.groupBy("id").agg(F.sum("n").alias("n"))
-        named = classes.join(sums, "id", "left").join(found, "id", "left").select("embedding", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
-    usable_rows = single.where("usable").join(named, "embedding").select("vec_id", "n_links", "component_id")
+        named = classes.join(sums, "id", "left").join(found, "id", "left").select("embedding", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "id").alias("component_id"), "copies")
+    usable_rows = join_spread(single.where("usable"), materialize(named, "named"), ["embedding"], "copies", "inner").select("vec_id", "n_links", "component_id")
     others = single.where("NOT usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return usable_rows.union(others).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

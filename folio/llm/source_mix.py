@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._shared import WORD
+from ._shared import WORD, columns_of
 
 _BITS = 10
 
@@ -127,7 +127,7 @@ class Plan:
 
     def apply(self, rows: DataFrame, size: Column, sources: Column) -> DataFrame:
         """rows with a last column `taken`; an input column of that name goes, all others stay whatever their names."""
-        whole = F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in rows.columns if c.lower() != "taken"))
+        whole = F.struct(*(c for name, c in zip(rows.columns, columns_of(rows), strict=True) if name.lower() != "taken"))
         keyed = self.keyed(rows.select(whole.alias("row"), F.col("doc_id"), size.alias("size"), sources.alias("sources")))
         passes = F.least(((F.col("u") < F.col("cut")) | F.col("chosen")).cast("long") + F.col("passes"), F.lit(self.most))
         return keyed.select("row.*", F.coalesce(F.col("size") * passes, F.lit(0)).cast("long").alias("taken"))

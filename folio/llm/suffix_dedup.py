@@ -19,7 +19,8 @@ two rows for a stretch that several of its documents hold.
 Defined cases: a null text is empty; ties (equal suffixes) order by document;
 repeated rows (equal doc_id) are one document and never each other's repeat; a
 null doc_id is left out; an empty table gives an empty table; extra columns are
-ignored. Words are separated by white space and compared exactly.
+ignored. Words are separated by white space and compared by 31-bit hashes; as 50
+of them must agree, unequal stretches that pass for equal are not to be expected.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import SPACES, hashed_words, materialize, sliced, texts_of
+from ._shared import SPACES, hashed_words, join_spread, materialize, sliced, texts_of
 
 #: A run of so many suffixes is not held whole; its stretches meet by their hash.
 RUN = 16384
@@ -173,26 +174,23 @@ def repeats(docs: DataFrame, least: int = 50, k: int = 8) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(np.concatenate(positions).astype(np.int32)), pa.array(np.concatenate(values).view(np.int64))], ["doc_id", "pos", "gram"])
 
     selected = materialize(texts.mapInArrow(select, "doc_id long, pos int, gram long"), "minimisers")
-    spread = selected.groupBy("gram").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("gram")
-    shared = selected.join(materialize(spread, "shared"), "gram")
+    spread = selected.groupBy("gram").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("copies")).where("a <> b").select("gram", "copies")
+    shared = join_spread(selected, materialize(spread, "shared"), ["gram"], "copies", "inner")
     places = shared.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("at"))
 
     def cut(batches):
         """The words around each kept position: `reach` of 32-bit hashes to the right, and to the left going backwards."""
         for batch in sliced(batches):
-            rows = [[], [], [], []]
             for d, t, at in zip(batch.column("doc_id").to_pylist(), texts_of(batch, "text"), batch.column("at").to_pylist(), strict=True):
                 words = (word_hashes(t) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
                 padded = np.concatenate((np.zeros(reach, np.uint32), words, np.zeros(reach, np.uint32)))
                 p = np.array(at, np.int64)
                 p = p[p < len(words)]
-                right = padded[p[:, None] + reach + np.arange(reach)]
-                left = padded[p[:, None] + reach - 1 - np.arange(reach)]
-                rows[0] += [d] * len(p)
-                rows[1] += p.tolist()
-                rows[2] += [r.tobytes() for r in right]
-                rows[3] += [r.tobytes() for r in left]
-            yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["doc_id", "pos", "right", "left"])
+                for i in range(0, len(p), 4096):
+                    q = p[i : i + 4096]
+                    right, left = padded[q[:, None] + reach + np.arange(reach)], padded[q[:, None] + reach - 1 - np.arange(reach)]
+                    columns = [pa.array([d] * len(q), pa.int64()), pa.array(q.astype(np.int32)), *(pa.array([r.tobytes() for r in x], pa.binary()) for x in (right, left))]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "pos", "right", "left"])
 
     suffixes = materialize(texts.join(places, "doc_id").mapInArrow(cut, "doc_id long, pos int, right binary, left binary"), "suffixes")
     order = ("right", "left", "doc_id", "pos")

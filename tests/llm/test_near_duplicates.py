@@ -31,6 +31,27 @@ def plain_fingerprint(text):
     return sum(1 << k for k in range(64) if 2 * ones[k] > len(shingles))
 
 
+def plain_wide_fingerprint(text):
+    """Four words of 64 bits over the distinct five-word shingles, and their number."""
+    words = WORD.findall(ascii_lower(text or ""))
+    shingles = {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+    hashes, mask, out = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles], (1 << 64) - 1, 0
+    for k in range(4):
+        ones = [0] * 64
+        for h in hashes:
+            h = (h ^ k) * 0xBF58476D1CE4E5B9 & mask
+            h = (h ^ h >> 29) * 0x94D049BB133111EB & mask
+            h ^= h >> 32
+            for b in range(64):
+                ones[b] += h >> b & 1
+        out = out << 64 | sum(1 << b for b in range(64) if 2 * ones[b] > len(shingles))
+    return out, len(shingles)
+
+
+def plain_near(a, b):
+    return bin(a[0] ^ b[0]).count("1") <= 46 and min(a[1], b[1]) >= 0.8 * max(a[1], b[1])
+
+
 def plain_components(n, linked):
     root = list(range(n))
 
@@ -69,14 +90,58 @@ def test_simhash_tiles_change_nothing(spark):
     fps = [r.getrandbits(64) for _ in range(150)]
     fps += [f ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) for f in fps[:80]] + [f ^ 0b111 for f in fps[:40]]
     fps = sorted(set(fps))
-    signed = lambda v: v - (1 << 64) if v >> 63 else v
-    rows = spark.createDataFrame([(signed(f), i) for i, f in enumerate(fps)], "fp long, id long")
+    rows = spark.createDataFrame([(bytearray(f.to_bytes(8, "big")), 0, i) for i, f in enumerate(fps)], "fp binary, size long, id long")
     want = plain_components(len(fps), lambda a, b: bin(fps[a] ^ fps[b]).count("1") <= 3)
     for tile in (131072, 1):
         got = {r["node"]: r["root"] for r in components(simhash.links(rows, tile=tile)).collect()}
         assert [got.get(i, i) for i in range(len(fps))] == want
 
 
+def test_wide_simhash_equals_brute_force(spark):
+    """Four words and a wide radius, in bands of sizes and small blocks and tiles."""
+    r = random.Random(4)
+    fps, sizes = [r.getrandbits(256) for _ in range(60)], [r.choice([0, 1, 2, 5, 20, 100, 3000]) for _ in range(60)]
+    for i in range(200):
+        k = r.randrange(len(fps))
+        fps.append(fps[k] ^ sum(1 << b for b in r.sample(range(256), r.choice([3, 20, 40, 45, 46, 47, 50]))))
+        sizes.append(r.choice([sizes[k], int(sizes[k] * 0.8), int(sizes[k] * 0.81) + 1, sizes[k] * 2]))
+    keys = sorted(set(zip(fps, sizes, strict=True)))
+    rows = spark.createDataFrame([(bytearray(f.to_bytes(32, "big")), n, i) for i, (f, n) in enumerate(keys)], "fp binary, size long, id long")
+    near = lambda a, b: bin(keys[a][0] ^ keys[b][0]).count("1") <= 46 and min(keys[a][1], keys[b][1]) >= 0.8 * max(keys[a][1], keys[b][1])
+    want = plain_components(len(keys), near)
+    for tile, block in ((131072, (256, 4096)), (7, (2, 3))):
+        old, simhash.BLOCK = simhash.BLOCK, block
+        got = {r["node"]: r["root"] for r in components(simhash.links(rows, 46, tile, 0.8)).collect()}
+        simhash.BLOCK = old
+        assert [got.get(i, i) for i in range(len(keys))] == want
+
+
+def test_near_copies_of_similarity_08(spark, docs_of):
+    """Copies that keep 80 % of their five-word shingles or more are found, unlike texts are not."""
+    texts, want = [], []
+    r = random.Random(8)
+    for s in range(60):
+        base = prose(40_000 + s, 200).split()
+        texts.append(" ".join(base))
+        want.append(s)
+        for n in (1, 2, 4):
+            copy = list(base)
+            for at in r.sample(range(200), n):  # each replaced word changes up to five shingles of 196
+                copy[at] = f"new{at}"
+            texts.append(" ".join(copy))
+            want.append(s)
+        texts.append(" ".join([*base[:100], *prose(80_000 + s, 100).split()]))  # a third of all shingles: another text
+        want.append(1000 + s)
+    got = {x["doc_id"]: x["component_id"] for x in simhash.group(docs_of(texts), **simhash.NEAR).collect()}
+    fps = [plain_wide_fingerprint(t) for t in texts]
+    assert [got[i] for i in range(len(texts))] == plain_components(len(texts), lambda a, b: plain_near(fps[a], fps[b]))
+    first = {}
+    for i, w in enumerate(want):
+        first.setdefault(w, i)
+    assert np.mean([got[i] == first[w] for i, w in enumerate(want) if w < 1000]) >= 0.97
+    assert all(got[i] == i for i, w in enumerate(want) if w >= 1000)
+
+
 def test_simhash_nulls_repeats_and_empty(spark, docs_of):
     docs = docs_of(["same text here", "same text here", None, "same text here", "same text here"], ids=[5, 5, 7, None, 9])
     rows = sorted((r["doc_id"] or -1, r["component_id"]) for r in simhash.group(docs).collect())
@@ -84,6 +149,8 @@ def test_simhash_nulls_repeats_and_empty(spark, docs_of):
     kept = sorted((r["doc_id"] or -1) for r in simhash.dedup(docs).collect())
     assert kept == [-1, 5, 7]
     assert simhash.dedup(docs).columns == docs.columns
+    odd = docs.withColumns({"m": F.create_map(F.lit("a"), F.col("lang")), "copies": F.lit(1), "row": F.lit("x"), "component_id": F.lit(5), "a.b": F.lit(1)})
+    assert sorted((r["doc_id"] or -1) for r in simhash.dedup(odd).collect()) == [-1, 5, 7] and simhash.dedup(odd).columns == odd.columns
     assert simhash.group(docs.limit(0)).count() == 0
 
 
@@ -163,13 +230,18 @@ def test_suffix_repeats_among_altered_variants(spark, docs_of, share):
     assert got == plain_repeats(texts, 50)
 
 
-def test_suffix_repeats_of_a_run_over_several_tasks(spark, docs_of):
+@pytest.mark.parametrize("parts", [1, 8, 211])
+def test_suffix_repeats_of_a_run_over_several_tasks(spark, docs_of, parts):
     passage = prose(960, 60)
     often = " ".join(f"{passage} {prose(9000 + i, 3)}" for i in range(1000))
     texts = [often, " ".join([prose(1, 30), passage, prose(2, 30), passage, prose(3, 30)]), *(prose(20 + i, 100) for i in range(5))]
+    texts += [" ".join(prose(77, 60).split() * 300), prose(77, 60)]
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
     got = sorted((x["doc_id"], x["start"], x["end"]) for x in suffix_dedup.repeats(docs_of(texts)).collect())
+    spark.conf.set("spark.sql.shuffle.partitions", usual)
     assert got == plain_repeats(texts, 50)
-    assert len(got) == 1002
+    assert len(got) == 1004
 
 
 def test_suffix_repeats_of_one_document_or_none(spark, docs_of):

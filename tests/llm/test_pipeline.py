@@ -3,13 +3,13 @@
 import corpus_pipeline
 from folio.llm import queries
 from tests.llm.conftest import prose
-from tests.llm.test_near_duplicates import plain_components, plain_fingerprint
+from tests.llm.test_near_duplicates import plain_components, plain_near, plain_wide_fingerprint
 from tests.llm.test_scoring import junk
 
 
 def corpus():
     texts = [prose(i, 120) for i in range(60)] + [junk(i, 120) for i in range(60, 100)]
-    texts += [texts[0], texts[1], texts[1]]
+    texts += [texts[0], texts[1], texts[1] + " and more"]
     texts += [prose(200, 60) + " " + prose(700, 30), prose(201, 80) + " password=hunter2hunter2 " + prose(202, 40), None, ""]
     return texts
 
@@ -25,8 +25,8 @@ def test_stages(spark, docs_of, save):
     scores = {r["doc_id"]: r["predicted"] for r in queries.op6_quality(spark, at).collect()}
     assert ids(kept) == sorted(i for i, p in scores.items() if p) and kept.schema == docs.schema
     assert not set(ids(kept)) & set(range(60, 100)) and set(range(60)) <= set(ids(kept))
-    fps = [plain_fingerprint(t) for t in texts]
-    roots = plain_components(len(texts), lambda a, b: bin(fps[a] ^ fps[b]).count("1") <= 3)
+    fps = [plain_wide_fingerprint(t) for t in texts]
+    roots = plain_components(len(texts), lambda a, b: plain_near(fps[a], fps[b]))
     deduped = stages["near_dups"](spark, docs, at)
     assert ids(deduped) == sorted(set(roots)) and deduped.schema == docs.schema
     clean = stages["benchmark"](spark, docs, at)
