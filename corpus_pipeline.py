@@ -1,7 +1,7 @@
 """A training corpus from documents: five stages, each written and read again by the next.
 
 quality    documents that the quality classifier rejects go
-near_dups  one document of each SimHash group stays
+near_dups  one document of each group of near copies (five-word shingles, similarity 0.8) stays
 benchmark  documents that hold a benchmark item go
 secrets    found secrets are replaced by their kind in brackets
 mix        documents that the source mix takes stay, with the words taken
@@ -24,7 +24,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dups_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.dedup(docs)
+    return simhash.dedup(docs, **simhash.NEAR)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
