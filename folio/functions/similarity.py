@@ -23,12 +23,19 @@ def name_similarity(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when((a == "") | (b == ""), 0.0).otherwise(F.greatest(F.lit(0.0), 1 - byte_levenshtein(a, b).cast("double") / longest))
 
 
-def time_closeness(a: Column, b: Column, window_s: float) -> Column:
-    """1 at the same instant, falling to 0 at the window."""
+def micros(t: Column) -> Column:
+    return F.unix_micros(t.cast("timestamp"))
+
+
+def gap_closeness(gap: Column, window_s: float) -> Column:
+    """1 for no gap (in microseconds), falling to 0 at the window."""
     if window_s <= 0:
         return F.lit(0.0)
-    gap = F.abs(F.unix_micros(a.cast("timestamp")) - F.unix_micros(b.cast("timestamp"))).cast("double")
-    return F.when(gap >= window_s * 1e6, 0.0).otherwise(1 - gap / (window_s * 1e6))
+    return F.when(gap >= int(window_s * 1e6), 0.0).otherwise(1 - gap.cast("double") / (window_s * 1e6))
+
+
+def time_closeness(a: Column, b: Column, window_s: float) -> Column:
+    return gap_closeness(F.abs(micros(a) - micros(b)), window_s)
 
 
 def is_phash(h: Column) -> Column:
@@ -67,11 +74,15 @@ def grid_phash(grid: Column, mean: Column) -> Column:
 def score(a_name: Column, b_name: Column, a_time: Column, b_time: Column, a_bits: Column, b_bits: Column, a_path: Column, b_path: Column, w: Weights, name_score: Column | None = None) -> dict[str, Column]:
     """name_score, time_score, image_score, has_image, distance, vetoed and total of a pair of files."""
     name = name_similarity(a_name, b_name) if name_score is None else name_score
-    time = time_closeness(a_time, b_time, w.time_window_s)
-    distance = hamming_bits(a_bits, b_bits)
+    same_work = (a_name == b_name) & text.same_folder_tree(a_path, b_path)
+    return signals(name, F.abs(micros(a_time) - micros(b_time)), hamming_bits(a_bits, b_bits), same_work, w)
+
+
+def signals(name: Column, gap: Column, distance: Column, same_work: Column, w: Weights) -> dict[str, Column]:
+    """The same from the name score, the gap in microseconds, the differing bits (-1: no pictures) and whether name and folder tree are one."""
+    time = gap_closeness(gap, w.time_window_s)
     has_image = distance >= 0
     image = F.when(has_image, image_closeness(distance, w.similar_image, w.different_image)).otherwise(0.0)
-    same_work = (a_name == b_name) & text.same_folder_tree(a_path, b_path)
     vetoed = has_image & (distance > w.different_image) & ~same_work
     total = F.when(vetoed, 0.0).when(has_image, w.name * name + w.time * time + w.image * image).otherwise((w.name * name + w.time * time) / (w.name + w.time))
     return {"name_score": name, "time_score": time, "image_score": image, "has_image": has_image, "distance": distance, "vetoed": vetoed, "total": total}

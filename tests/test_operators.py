@@ -8,7 +8,7 @@ import random
 import zipfile
 
 import numpy as np
-import pandas as pd
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -240,10 +240,55 @@ def test_ordered_union_equals_the_plain_one(seed):
     edges = [(a, b, r.choice([0.7, 0.8, 0.9, 1.0])) for a, b in r.sample(pairs, 14)]
     some = r.sample(pairs, 5)
     together, apart = set(some[:2]), set(some[2:])
-    frame = lambda ps: pd.DataFrame(sorted(ps), columns=["path_a", "path_b"])
-    scored = pd.DataFrame([e for e in edges if e[:2] not in together], columns=["path_a", "path_b", "total"])
-    got, refused = grouping.ordered_union(scored, frame(apart), frame(together))
-    assert ({n: got.get(n, n) for n in nodes}, refused) == plain_clusters(edges, together, apart, nodes)
+    number = {x: i for i, x in enumerate(nodes)}
+    ints = lambda ps: np.array([(number[x], number[y]) for x, y in ps], np.int64).reshape(-1, 2)
+    ordered = [(x, y) for _, x, y in sorted((-s, x, y) for x, y, s in edges if (x, y) not in together)]
+    got = grouping.ordered_union(len(nodes), ints(ordered), ints(sorted(apart)), ints(sorted(together)))
+    want, refused = plain_clusters(edges, together, apart, nodes)
+    assert [nodes[i] for i in got] == [want[x] for x in nodes]
+    assert sum(got[number[x]] != got[number[y]] for x, y in ordered) == refused
+
+
+def plain_total(a, b, w):
+    """The score of two files (path, name, minutes, bits), written out."""
+    longest = max(len(a[1]), len(b[1]))
+    row = list(range(len(b[1]) + 1))
+    for i, x in enumerate(a[1], 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b[1], 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    name = 1.0 if a[1] == b[1] else 0.0 if not a[1] or not b[1] else max(0.0, 1 - row[-1] / longest)
+    close = max(0.0, 1 - abs(a[2] - b[2]) / 480)
+    if a[3] is None or b[3] is None:
+        return (w.name * name + w.time * close) / (w.name + w.time)
+    d = bin((a[3] ^ b[3]) & (1 << 64) - 1).count("1")
+    folders = [x[0].rsplit("/", 1)[0] for x in (a, b)]
+    tree = any(x == y or x.startswith(y + "/") for x, y in (folders, folders[::-1]))
+    if d > w.different_image and not (a[1] == b[1] and tree):
+        return 0.0
+    return w.name * name + w.time * close + w.image * (1.0 if d <= 10 else 0.0 if d >= 26 else 1 - (d - 10) / 16)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_clusters_equal_all_pairs(spark, seed):
+    """Files of similar and equal names, with and without pictures, near and far in time, with and without decisions."""
+    r, w = random.Random(seed), grouping.Weights()
+    names = ["poster kampus", "poster kampua", "poster kamp", "postre kompus", "logo kopi", "logo kopo", "logo", "undangan nikah ani", "undangan nikah budi"]
+    base = [r.getrandbits(64) for _ in range(3)]
+    files = []
+    for i in range(90):
+        bits = None if r.random() < 0.6 else base[r.randrange(3)] ^ sum(1 << b for b in r.sample(range(64), r.choice([0, 5, 15, 24, 30])))
+        files.append((f"/w/{r.randrange(4)}/{'x/' * r.randrange(2)}f{i:02}.psd", r.choice(names), r.randrange(0, 6000), bits))
+    pairs = [(a, b) if a[0] < b[0] else (b, a) for a, b in itertools.combinations(files, 2)]
+    decided = {p: d for p, d in zip(r.sample([(a[0], b[0]) for a, b in pairs], 10 * seed), itertools.cycle(["apart", "together", "apart"]))}
+    edges = [(a[0], b[0], t) for a, b in pairs if (t := plain_total(a, b, w)) >= w.threshold]
+    want, refused = plain_clusters(edges, {p for p, d in decided.items() if d == "together"}, {p for p, d in decided.items() if d == "apart"}, [f[0] for f in files])
+    signed = lambda v: None if v is None else v - (1 << 64) if v >> 63 else v
+    cands = spark.createDataFrame([(p, 1, n, at(0) + dt.timedelta(minutes=m), signed(b)) for p, n, m, b in files], "path string, asset_id long, name string, modified_at timestamp_ntz, bits long")
+    decisions = spark.createDataFrame([(a, b, d) for (a, b), d in decided.items()], "path_a string, path_b string, decision string")
+    got = grouping.clusters(cands, decisions).collect()
+    assert {x["path"]: x["cluster"] for x in got} == want and len(got) == len(files)
+    assert sum(x["refused"] for x in got) == refused
 
 
 SEVEN = ["poster-kampus.psd", "poster kampus final.psd", "poster_kampus_fix.psd", "poster kampus revisi 3.psd", "Poster Kampus FINAL ASLI.psd", "poster_kampus_v2 (1).psd", "poster-kampus-20260909.psd"]
