@@ -114,7 +114,7 @@ def version_by_id(c):
 
 @query("SELECT * FROM previews WHERE file_hash = sha256('4')")
 def preview_by_hash(c):
-    return c.previews.where(F.col("file_hash") == F.sha2(F.lit("4"), 256))
+    return cat.one(c.previews, "file_hash", F.sha2(F.lit("4"), 256))
 
 
 @query("SELECT DISTINCT v.file_hash, coalesce(p.phash, '') AS phash FROM versions v LEFT JOIN previews p ON p.file_hash = v.file_hash")
@@ -148,7 +148,7 @@ def files_under_prefix(c):
 
 @query("SELECT * FROM observed_files WHERE last_hash = sha256('17')")
 def files_by_hash(c):
-    return c.observed_files.where(F.col("last_hash") == F.sha2(F.lit("17"), 256)).orderBy("path")
+    return cat.files_by_hash(c.observed_files, F.sha2(F.lit("17"), 256))
 
 
 @query(f"SELECT * FROM observed_files WHERE asset_id = {ASSET}")
@@ -350,15 +350,16 @@ def gc_stats(c):
     return vault.collect_garbage(_released(c)["chunks"])[2]
 
 
-@query("SELECT CAST(k AS VARCHAR) AS hash, k AS size FROM range(0, 100000, 7) t(k) WHERE CAST(k AS VARCHAR) NOT IN (SELECT hash FROM chunks)")
-def orphan_blobs(c):
-    disk = c.chunks.sparkSession.range(0, 100000, 7).select(F.col("id").cast("string").alias("hash"), F.col("id").alias("size"))
-    return vault.orphans(disk, c.chunks)
+@on_tables("SELECT CAST(o_orderkey AS VARCHAR) AS hash, o_orderkey AS size FROM orders WHERE CAST(o_orderkey AS VARCHAR) NOT IN (SELECT hash FROM chunks)")
+def orphan_blobs(spark, sf_dir):
+    disk = td.table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("hash"), F.col("o_orderkey").alias("size"))
+    return vault.orphans(disk, td.chunks(spark, sf_dir))
 
 
-@query("SELECT CAST(k AS VARCHAR) AS hash FROM range(0, 60000, 5) t(k) WHERE CAST(k AS VARCHAR) IN (SELECT hash FROM files)")
-def stored_hashes(c):
-    return vault.exists(c.files, c.files.sparkSession.range(0, 60000, 5).select(F.col("id").cast("string").alias("hash")))
+@on_tables("SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS hash FROM lineitem WHERE CAST(l_orderkey AS VARCHAR) IN (SELECT hash FROM files)")
+def stored_hashes(spark, sf_dir):
+    asked = td.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("hash")).distinct()
+    return vault.exists(td.files(spark, sf_dir), asked.union(asked.select(F.concat("hash", F.lit("x")))))
 
 
 @on_tables("SELECT CAST(o_custkey AS VARCHAR) AS hash, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN -1 ELSE 1 END) AS BIGINT) AS refcount FROM orders GROUP BY 1", views=False)
@@ -725,3 +726,115 @@ def retention_buckets(c):
 @query("SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS hash FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 3 = 0)")
 def sync_missing(c):
     return retention.missing(c.file_chunks.select(F.col("chunk_hash").alias("hash")), c.chunks.where(F.col("hash").cast("long") % 3 == 0))
+
+
+# --- single rows, tickets of a version, rules ----------------------------------
+
+_KEY = "CAST(split_part(path, '/', 5) AS BIGINT)"
+
+
+def _path(c: Catalogue, k: int) -> str:
+    return c.observed_files.where(F.split("path", "/")[4] == str(k)).first()["path"]
+
+
+@query("SELECT * FROM observed_files WHERE split_part(path, '/', 5) = '7'")
+def tracked_file_by_path(c):
+    return cat.one(c.observed_files, "path", _path(c, 7))
+
+
+@query("SELECT * FROM tickets WHERE id = 3")
+def ticket_by_id(c):
+    return cat.one(c.tickets, "id", 3)
+
+
+@query("SELECT * FROM decisions")
+def all_decisions(c):
+    return cat.all_decisions(c.grouping_decisions)
+
+
+@query("SELECT id, version_id, status <> 'closed' AS live FROM tickets WHERE version_id = 3")
+def tickets_of_version(c):
+    return cat.tickets_on(c.tickets, 3).select("id", "version_id", "live")
+
+
+@query("SELECT version_id, count(*) FILTER (status <> 'closed') AS live, count(*) FILTER (status = 'closed') AS closed FROM tickets GROUP BY 1")
+def ticket_split(c):
+    return cat.ticket_split(c.tickets)
+
+
+@query("SELECT 'versions' AS \"table\", asset_id FROM versions WHERE asset_id % 7 = 0 UNION ALL SELECT 'observed_files', asset_id FROM observed_files WHERE asset_id % 7 = 0")
+def rows_without_asset(c):
+    return changes.rows_without_asset(Catalogue(**{**c.__dict__, "assets": c.assets.where("id % 7 <> 0")}))
+
+
+@query("SELECT id FROM versions WHERE pinned")
+def versions_without_key(c):
+    return changes.versions_without_key(c.versions.withColumn("file_key", F.when(F.col("pinned"), "").otherwise(F.col("file_key")))).select("id")
+
+
+@query("""SELECT 'previews' AS "table", file_hash AS key FROM previews WHERE status = 'failed' UNION ALL SELECT 'tickets', CAST(id AS VARCHAR) FROM tickets WHERE direction = 'waiting_on_me'
+UNION ALL SELECT 'grouping_decisions', path_b FROM decisions WHERE decision = 'apart' UNION ALL SELECT 'chunks', hash FROM chunks WHERE refcount > 30""")
+def bad_values(c):
+    spoilt = Catalogue(**{
+        **c.__dict__, "previews": c.previews.withColumn("status", F.expr("IF(status = 'failed', 'odd', status)")), "tickets": c.tickets.withColumn("direction", F.expr("IF(direction = 'waiting_on_me', NULL, direction)")),
+        "grouping_decisions": c.grouping_decisions.selectExpr("IF(decision = 'apart', path_b, path_a) AS path_a", "IF(decision = 'apart', path_a, path_b) AS path_b", "decision", "decided_at"),
+        "chunks": c.chunks.withColumn("refcount", F.expr("IF(refcount > 30, -1, refcount)")),
+    })
+    return changes.bad_values(spoilt)
+
+
+@query(f"""SELECT (SELECT max(id) FROM versions) + row_number() OVER (ORDER BY last_modified_at, path) AS id, asset_id, last_hash AS file_hash, CASE WHEN {_KEY} % 2 = 0 THEN path ELSE path || '.key' END AS file_key, true AS content_present, observed_files.path AS source_path
+FROM observed_files""")
+def versions_added(c):
+    key = F.when(F.split("path", "/")[4].cast("long") % 2 == 0, "").otherwise(F.concat("path", F.lit(".key")))
+    rows = c.observed_files.select("asset_id", F.col("last_hash").alias("file_hash"), F.col("last_size").alias("size"), F.col("last_modified_at").alias("observed_at"), F.col("last_modified_at").alias("modified_at"), F.col("path").alias("source_path"), key.alias("file_key"), F.lit(False).alias("pinned"))
+    return changes.add_versions(c.versions, rows).join(c.versions.select("id"), "id", "left_anti").select("id", "asset_id", "file_hash", "file_key", "content_present", "source_path")
+
+
+@query("SELECT (SELECT max(id) FROM tickets) + row_number() OVER (ORDER BY observed_at, id) AS id, id AS version_id, 'open' AS status, 'waiting_on_me' AS direction FROM versions WHERE pinned")
+def tickets_added(c):
+    rows = c.versions.where("pinned").select(F.col("id").alias("version_id"), F.lit("waiting_on_me").alias("direction"), F.lit("look").alias("note"), F.lit("me").alias("who"), F.col("observed_at").alias("created_at"))
+    return changes.add_tickets(c.tickets, rows).join(c.tickets.select("id"), "id", "left_anti").select("id", "version_id", "status", "direction")
+
+
+@query("SELECT path FROM watched_folders WHERE path <> '/work/3'")
+def folder_removed(c):
+    return changes.remove_folder(c.watched_folders, "/work/3").select("path")
+
+
+@query("SELECT path, CASE WHEN k = 151 THEN (SELECT max(id) + 1 FROM assets) ELSE k % 150 + 1 END AS asset_id FROM paths")
+def split_files(c):
+    return grouping.split(c, _path(c, 1), _path(c, 151), now()).observed_files.select("path", "asset_id")
+
+
+@query("SELECT path, CASE WHEN k = 2 THEN 2 ELSE k % 150 + 1 END AS asset_id FROM paths")
+def merged_files(c):
+    return grouping.merge(c, _path(c, 1), _path(c, 2), now()).observed_files.select("path", "asset_id")
+
+
+@query("SELECT least(a.path, b.path) AS path_a, greatest(a.path, b.path) AS path_b FROM paths a JOIN paths b ON a.k = 151 AND b.k <> 151 AND b.k % 150 = 1")
+def detached_decisions(c):
+    after = grouping.detach(c, _path(c, 151), now()).grouping_decisions
+    return after.where(F.col("decided_at") == now()).select("path_a", "path_b")
+
+
+@query("SELECT path, CASE WHEN k = 151 THEN (SELECT max(id) + 1 FROM assets) ELSE k % 150 + 1 END AS asset_id FROM paths")
+def detached_files(c):
+    return grouping.detach(c, _path(c, 151), now()).observed_files.select("path", "asset_id")
+
+
+@on_tables(r"SELECT page_id, regexp_replace(url, '([\\%_])', '\\\1', 'g') AS escaped FROM pages", views=False)
+def like_escaped(spark, sf_dir):
+    return td.table(spark, sf_dir, "pages").select("page_id", text.like_escaped(F.col("url")).alias("escaped"))
+
+
+@on_tables("SELECT event_id, CASE WHEN value - 20 > 0 THEN (value - 20) / 10 ELSE 2.0 END AS seek FROM events", views=False)
+def seek_seconds(spark, sf_dir):
+    return td.table(spark, sf_dir, "events").select("event_id", text.seek_seconds(F.col("value") - 20).alias("seek"))
+
+
+@on_tables("""WITH tries AS (SELECT CAST(user_id AS VARCHAR) AS path, ts, CASE WHEN event_id % 40 = 0 THEN 'free' WHEN event_id % 5 = 0 THEN 'locked' ELSE 'unknown' END AS state FROM events)
+SELECT path, count(*) AS attempts FROM tries t WHERE state = 'unknown' AND NOT EXISTS (SELECT 1 FROM tries o WHERE o.path = t.path AND o.state = 'free' AND o.ts >= t.ts) GROUP BY path HAVING count(*) >= 5""", views=False)
+def open_problems(spark, sf_dir):
+    state = F.expr("CASE WHEN event_id % 40 = 0 THEN 'free' WHEN event_id % 5 = 0 THEN 'locked' ELSE 'unknown' END")
+    return ingest.problems(td.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("path"), state.alias("state"), F.col("ts").alias("at")))

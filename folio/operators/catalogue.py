@@ -17,7 +17,7 @@ def one(table: DataFrame, key: str, value) -> DataFrame:
     return table.where(F.col(key) == value)
 
 
-def files_by_hash(observed: DataFrame, file_hash: str) -> DataFrame:
+def files_by_hash(observed: DataFrame, file_hash: str | Column) -> DataFrame:
     return observed.where(F.col("last_hash") == file_hash).orderBy("path")
 
 
@@ -126,6 +126,16 @@ def is_outstanding(status: Column) -> Column:
     return status != "closed"
 
 
+def tickets_on(tickets: DataFrame, version_id: int) -> DataFrame:
+    """A version's tickets with whether they are live (not closed), live ones and newer ones first."""
+    return tickets.where(F.col("version_id") == version_id).withColumn("live", is_outstanding(F.col("status"))).orderBy(F.desc("live"), F.desc("created_at"), F.desc("id"))
+
+
+def ticket_split(tickets: DataFrame) -> DataFrame:
+    """version_id, live and closed: how many tickets of each kind a version has."""
+    return tickets.groupBy("version_id").agg(F.count_if(is_outstanding(F.col("status"))).alias("live"), F.count_if(~is_outstanding(F.col("status"))).alias("closed"))
+
+
 def versions_with_open_ticket(c: Catalogue) -> DataFrame:
     return c.versions.join(c.tickets.where(is_outstanding(F.col("status"))), c.versions["id"] == F.col("version_id"), "left_semi")
 

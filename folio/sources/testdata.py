@@ -1,10 +1,9 @@
 """The synthetic star schema read as a catalogue, and the same mapping as SQL views.
 
-customer are works, orders their versions and tickets, part the tracked files,
+customer are works (supplier such without versions), orders their versions and tickets, part the tracked files,
 lineitem the chunks of files, embeddings the 8x8 grids behind picture hashes,
-events the sightings of files. Remainders of keys shape the catalogue (works
-without versions, contents without pictures, closed tickets); every query runs
-over the whole of it.
+events the sightings of files. Remainders of keys shape the catalogue (contents
+without pictures, never verified files); every query runs over the whole of it.
 """
 
 from __future__ import annotations
@@ -16,13 +15,12 @@ from pyspark.sql.window import Window
 from folio.functions import similarity
 from folio.schema import Catalogue
 
-#: Contents and pictures repeat after so many keys.
-CONTENTS, PICTURES = 5000, 500
 #: "Now" of the queries that need one.
 NOW = "1998-09-01 00:00:00"
 
 _PATH = "concat('/work/', p_partkey % 40, '/', p_type, '/', p_partkey, '/', p_name, '_v', p_size, ' final.psd')"
-_HASH = "sha2(cast({} % 5000 AS string), 256)"
+#: Three keys in a row share a content.
+_HASH = "sha2(cast({} div 3 AS string), 256)"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").where("o_custkey % 10 <> 0").selectExpr(
+    return table(spark, sf_dir, "orders").selectExpr(
         "o_orderkey AS id", "o_custkey AS asset_id", f"{_HASH.format('o_orderkey')} AS file_hash", "cast(floor(o_totalprice) AS bigint) AS size",
         "o_orderdate AS observed_at", "o_orderdate - INTERVAL 5 MINUTES AS modified_at", "concat('/work/', o_custkey, '/save_', o_orderkey, '.psd') AS source_path",
         "concat('/work/', o_custkey, '/file_', o_orderkey % 3, '.psd') AS file_key", "o_orderstatus <> 'F' AS content_present",
@@ -40,11 +38,12 @@ def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     dates = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_orderdate").alias("created_at"), F.max("o_orderdate").alias("updated_at"))
-    return table(spark, sf_dir, "customer").join(dates, F.col("c_custkey") == F.col("o_custkey"), "left").selectExpr("c_custkey AS id", "c_name AS name", "created_at", "updated_at")
+    works = table(spark, sf_dir, "customer").join(dates, F.col("c_custkey") == F.col("o_custkey"), "left").selectExpr("c_custkey AS id", "c_name AS name", "created_at", "updated_at")
+    return works.union(table(spark, sf_dir, "supplier").selectExpr("-s_suppkey AS id", "s_name AS name", "timestamp_ntz'1998-01-01 00:00:00'", "timestamp_ntz'1998-01-01 00:00:00'"))
 
 
 def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0 AND o_custkey % 10 <> 0").selectExpr(
+    return table(spark, sf_dir, "orders").selectExpr(
         "o_orderkey AS id", "o_orderkey AS version_id", "IF(o_orderkey % 2 = 0, 'waiting_on_them', 'waiting_on_me') AS direction",
         "CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'P' THEN 'maybe_done' ELSE 'closed' END AS status", "o_orderpriority AS note", "concat('Supplier#', o_orderkey % 97) AS who",
         "o_orderdate AS created_at", "CASE WHEN o_orderstatus = 'P' THEN o_orderdate + INTERVAL 10 DAYS END AS flagged_at", "CASE WHEN o_orderstatus NOT IN ('O', 'P') THEN o_orderdate + INTERVAL 20 DAYS END AS closed_at",
@@ -58,10 +57,12 @@ def grids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def previews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hashes = grids(spark, sf_dir).where(f"vec_id < {PICTURES}").select("vec_id", similarity.grid_phash(F.col("grid"), F.col("mean")).alias("phash"))
-    keys = spark.range(CONTENTS).where("id % 4 <> 3").withColumn("vec_id", F.col("id") % PICTURES)
+    hashes = grids(spark, sf_dir).select("vec_id", similarity.grid_phash(F.col("grid"), F.col("mean")).alias("phash"))
+    contents = table(spark, sf_dir, "orders").selectExpr("o_orderkey div 3 AS id").union(table(spark, sf_dir, "part").selectExpr("p_partkey div 3")).distinct()
+    pictures = table(spark, sf_dir, "embeddings").agg(F.count("*").alias("pictures"))  # one row
+    keys = contents.where("id % 4 <> 3").crossJoin(F.broadcast(pictures)).withColumn("vec_id", F.col("id") % F.col("pictures"))
     return keys.join(hashes, "vec_id", "left").selectExpr(
-        f"{_HASH.format('id')} AS file_hash", "CASE id % 4 WHEN 2 THEN IF(id % 8 = 2, 'failed', 'unsupported') ELSE 'ok' END AS status", "'psd' AS source", "IF(id % 4 = 2, 0, 512) AS width", "IF(id % 4 = 2, 0, 256) AS height",
+        "sha2(cast(id AS string), 256) AS file_hash", "CASE id % 4 WHEN 2 THEN IF(id % 8 = 2, 'failed', 'unsupported') ELSE 'ok' END AS status", "'psd' AS source", "IF(id % 4 = 2, 0, 512) AS width", "IF(id % 4 = 2, 0, 256) AS height",
         "id * 10 AS bytes", "timestamp_ntz'1998-01-01 00:00:00' AS attempted_at", "IF(id % 16 = 2, 'decode', '') AS error", "IF(id % 4 = 2, '', 'png') AS format", "id % 12 = 0 AS alpha_flattened",
         "IF(id % 4 = 0, coalesce(phash, ''), '') AS phash",
     )
@@ -111,20 +112,21 @@ def catalogue(spark: SparkSession, sf_dir: str) -> Catalogue:
 #: The same views for DuckDB, to be put before a query.
 SQL_VIEWS = r"""
 WITH versions AS (
-  SELECT o_orderkey AS id, o_custkey AS asset_id, sha256(CAST(o_orderkey % 5000 AS VARCHAR)) AS file_hash, CAST(floor(o_totalprice) AS BIGINT) AS size,
+  SELECT o_orderkey AS id, o_custkey AS asset_id, sha256(CAST(o_orderkey // 3 AS VARCHAR)) AS file_hash, CAST(floor(o_totalprice) AS BIGINT) AS size,
          o_orderdate AS observed_at, o_orderdate - INTERVAL 5 MINUTE AS modified_at, '/work/' || o_custkey || '/save_' || o_orderkey || '.psd' AS source_path,
          '/work/' || o_custkey || '/file_' || (o_orderkey % 3) || '.psd' AS file_key, o_orderstatus <> 'F' AS content_present,
          CASE WHEN o_orderstatus = 'F' THEN o_orderdate + INTERVAL 30 DAY END AS content_released_at, o_orderpriority = '1-URGENT' AS pinned
-  FROM orders WHERE o_custkey % 10 <> 0),
+  FROM orders),
 assets AS (
   SELECT c_custkey AS id, any_value(c_name) AS name, min(o_orderdate) AS created_at, max(o_orderdate) AS updated_at
-  FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey),
+  FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey
+  UNION ALL SELECT -s_suppkey, s_name, TIMESTAMP '1998-01-01', TIMESTAMP '1998-01-01' FROM supplier),
 tickets AS (
   SELECT o_orderkey AS id, o_orderkey AS version_id, CASE WHEN o_orderkey % 2 = 0 THEN 'waiting_on_them' ELSE 'waiting_on_me' END AS direction,
          CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'P' THEN 'maybe_done' ELSE 'closed' END AS status, o_orderpriority AS note, 'Supplier#' || (o_orderkey % 97) AS who,
          o_orderdate AS created_at, CASE WHEN o_orderstatus = 'P' THEN o_orderdate + INTERVAL 10 DAY END AS flagged_at,
          CASE WHEN o_orderstatus NOT IN ('O', 'P') THEN o_orderdate + INTERVAL 20 DAY END AS closed_at
-  FROM orders WHERE o_orderkey % 3 = 0 AND o_custkey % 10 <> 0),
+  FROM orders),
 grids AS (
   SELECT vec_id, cells, CAST(list_sum(cells) AS BIGINT) // 64 AS mean
   FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor((x + CAST(1 AS FLOAT)) * CAST(127 AS FLOAT)) AS BIGINT)) AS cells FROM embeddings)),
@@ -136,11 +138,11 @@ previews AS (
          CASE WHEN k % 4 = 2 THEN 0 ELSE 512 END AS width, CASE WHEN k % 4 = 2 THEN 0 ELSE 256 END AS height, k * 10 AS bytes, TIMESTAMP '1998-01-01' AS attempted_at,
          CASE WHEN k % 16 = 2 THEN 'decode' ELSE '' END AS error, CASE WHEN k % 4 = 2 THEN '' ELSE 'png' END AS format, k % 12 = 0 AS alpha_flattened,
          CASE WHEN k % 4 = 0 THEN coalesce(phash, '') ELSE '' END AS phash
-  FROM range(5000) t(k) LEFT JOIN hashes ON vec_id = k % 500 WHERE k % 4 <> 3),
+  FROM (SELECT o_orderkey // 3 AS k FROM orders UNION SELECT p_partkey // 3 FROM part) LEFT JOIN hashes ON vec_id = k % (SELECT count(*) FROM embeddings) WHERE k % 4 <> 3),
 paths AS (
   SELECT p_partkey AS k, '/work/' || (p_partkey % 40) || '/' || p_type || '/' || p_partkey || '/' || p_name || '_v' || p_size || ' final.psd' AS path, p_size FROM part),
 observed_files AS (
-  SELECT path, k % 150 + 1 AS asset_id, sha256(CAST(k % 5000 AS VARCHAR)) AS last_hash, CAST(p_size AS BIGINT) * 100000 AS last_size,
+  SELECT path, k % 150 + 1 AS asset_id, sha256(CAST(k // 3 AS VARCHAR)) AS last_hash, CAST(p_size AS BIGINT) * 100000 AS last_size,
          TIMESTAMP '1998-01-01' + to_minutes(k % 2880) AS last_modified_at, TIMESTAMP '1998-08-31' AS last_seen_at,
          CASE WHEN k % 5 <> 0 THEN TIMESTAMP '1998-08-01' + to_hours(k % 700) END AS last_verified_at
   FROM paths),
