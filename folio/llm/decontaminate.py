@@ -5,7 +5,8 @@ document holds an item if, laid over it at some place, `least` consecutive words
 of the item (or the whole of a shorter item) agree in at least the share
 `identity`. The masks are such that every such window holds a mask whose counting
 words all agree: three spaced seeds for windows of 12 words with two replaced, and
-for other lengths masks that ignore every choice of replaced words.
+for other lengths masks that ignore every choice of replaced words. A longer stretch
+that agrees in that share as a whole counts, too, if it holds a seed.
 
 The hashes of all windows of the items are a table, which is joined with the
 hashes of the documents. A Bloom filter of the items' hashes, of bounded size,
@@ -178,11 +179,11 @@ def agreeing(doc: np.ndarray, item: np.ndarray, shift: int, least: int, identity
         return None
     same = doc[a:b] == item[a - shift : b - shift]
     upto = np.concatenate(([0], np.cumsum(same)))
-    window = upto[m:] - upto[:-m]
-    if window.max() < m - replaced(m, identity):
-        return None
     first, end = longest(same, identity)
-    if end - first < m:  # the window's own ends are replaced
+    if end - first < m:  # a window whose own ends are replaced
+        window = upto[m:] - upto[:-m]
+        if window.max() < m - replaced(m, identity):
+            return None
         first = int(window.argmax())
         end = first + m
     return int(upto[end] - upto[first]), a + first, a + end
