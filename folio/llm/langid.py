@@ -130,10 +130,14 @@ def fit(texts: list[str], langs: list[str], smooth: float = 0.05) -> Model:
 def train(docs: DataFrame, folds: int = 4, left_out: int = 2, each: int = EACH, most_bytes: int = 1 << 16) -> Model:
     """Fit on at most `each` texts of a language, those of least hash; texts of over most_bytes bytes are not learned from."""
     usable = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (fold(F.col("doc_id"), folds) != left_out))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "at")
-    keys = usable.where(F.octet_length("text") <= most_bytes).select("lang", "doc_id", F.xxhash64("text").alias("at"))
-    # every task keeps its first `each` rows of a language before they are dealt
-    ids = materialize(keys.withColumn("n", F.row_number().over(first)).where(F.col("n") <= each).drop("n"), "sample")
+    first = Window.partitionBy("lang").orderBy("u", "doc_id", "at")
+    u = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    keys = materialize(usable.where(F.octet_length("text") <= most_bytes).select("lang", "doc_id", F.xxhash64("text").alias("at"), u.alias("u")), "keys")
+    # of a language with n rows, those of least hash lie below about each / n of the range, surely below four times that
+    low = F.col("u").cast("double") * F.col("n") < 4.0 * each * (1 << 40)
+    few = keys.join(keys.groupBy("lang").agg(F.count("*").alias("n")), "lang").where(low)
+    ids = materialize(few.withColumn("k", F.row_number().over(first)).where(F.col("k") <= each).select("lang", "doc_id", "at"), "sample")
+    discard(keys)
     texts = usable.where(F.octet_length("text") <= most_bytes).withColumn("at", F.xxhash64("text"))
     rows = texts.join(ids.distinct(), ["lang", "doc_id", "at"]).select("lang", "text", "doc_id").distinct().select("lang", "text").toArrow()
     rows = sorted(zip(rows.column("lang").to_pylist(), rows.column("text").to_pylist(), strict=True))
