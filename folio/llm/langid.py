@@ -135,7 +135,8 @@ def train(docs: DataFrame, folds: int = 4, left_out: int = 2, each: int = EACH,
     keys = materialize(usable.where(F.octet_length("text") <= most_bytes).select("lang", "doc_id", F.xxhash64("text").alias("at"), u.alias("u")), "keys")
     # of a language with n rows, those of least hash lie below about each / n of the range, surely below four times that
     low = F.col("u").cast("double") * F.col("n") < 4.0 * each * (1 << 40)
-    few = keys.join(keys.groupBy("lang").agg(F.count("*").alias("n")), "lang").where(low)
+    counts = keys.groupBy("lang").agg(F.count("*").alias("n"))  # one row a language, of which the driver holds `each` texts anyway
+    few = keys.join(F.broadcast(counts), "lang").where(low)
     ids = materialize(few.withColumn("k", F.row_number().over(first)).where(F.col("k") <= each).select("lang", "doc_id", "at"), "sample")
     discard(keys)
     texts = usable.where(F.octet_length("text") <= most_bytes).withColumn("at", F.xxhash64("text"))
