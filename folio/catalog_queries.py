@@ -199,13 +199,16 @@ _READ = f"""(SELECT path, size, mtime, CASE WHEN size % 3 = 0 THEN sha256(path)
   UNION ALL SELECT '/new/' || path, last_size, last_modified_at, last_hash, true FROM observed_files WHERE last_size % 4 = 0)"""
 
 
-@query(f"""
+_OUTCOMES = f"""
 , gone AS (SELECT * FROM observed_files x WHERE NOT EXISTS (SELECT 1 FROM {_LISTING} l WHERE l.path = x.path)),
 src AS (SELECT path, source FROM (SELECT r.path, (SELECT min(g.path) FROM gone g WHERE g.last_hash = r.file_hash) AS source FROM {_READ} r
-        WHERE still_same AND NOT EXISTS (SELECT 1 FROM observed_files o WHERE o.path = r.path)) WHERE source IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source ORDER BY path) = 1)
-SELECT r.path, CASE WHEN NOT still_same THEN 'moved' WHEN o.last_hash = r.file_hash THEN 'verified' WHEN o.path IS NOT NULL THEN 'new_version' WHEN s.source IS NOT NULL THEN 'renamed' ELSE 'new_asset' END AS outcome,
+        WHERE still_same AND NOT EXISTS (SELECT 1 FROM observed_files o WHERE o.path = r.path)) WHERE source IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source ORDER BY path) = 1),
+outcomes AS (SELECT r.path, CASE WHEN NOT still_same THEN 'moved' WHEN o.last_hash = r.file_hash THEN 'verified' WHEN o.path IS NOT NULL THEN 'new_version' WHEN s.source IS NOT NULL THEN 'renamed' ELSE 'new_asset' END AS outcome,
        coalesce(o.asset_id, so.asset_id) AS asset_id, s.source
-FROM {_READ} r LEFT JOIN observed_files o ON o.path = r.path LEFT JOIN src s ON s.path = r.path LEFT JOIN observed_files so ON so.path = s.source""")
+FROM {_READ} r LEFT JOIN observed_files o ON o.path = r.path LEFT JOIN src s ON s.path = r.path LEFT JOIN observed_files so ON so.path = s.source)"""
+
+
+@query(f"{_OUTCOMES} SELECT * FROM outcomes")
 def scan_outcomes(c):
     listing = _listing(c)
     own = listing.join(c.observed_files.select("path", "last_hash"), "path")
@@ -214,10 +217,12 @@ def scan_outcomes(c):
     return ingest.classify(read.union(new), c.observed_files, listing).select("path", "outcome", "asset_id", "source")
 
 
-@query(f"SELECT count(*) FILTER (k % 2 = 0) AS new_version, count(*) FILTER (k % 2 = 1) AS verified, CAST(0 AS BIGINT) AS new_asset, CAST(0 AS BIGINT) AS renamed, CAST(0 AS BIGINT) AS moved, count(*) FILTER (k % 2 = 0) > 0 AS changed FROM paths")
+_COUNTED = ", ".join(f"count(*) FILTER (outcome = '{n}') AS {n}" for n in ("new_version", "new_asset", "renamed", "moved", "verified"))
+
+
+@query(f"{_OUTCOMES} SELECT {_COUNTED}, count(*) FILTER (outcome IN ('new_version', 'new_asset', 'renamed')) > 0 AS changed FROM outcomes")
 def scan_summary(c):
-    outcome = F.when(F.split("path", "/")[4].cast("long") % 2 == 0, "new_version").otherwise("verified")
-    return ingest.changed_catalogue(ingest.scan_summary(c.observed_files.select("path", outcome.alias("outcome"))))
+    return ingest.changed_catalogue(ingest.scan_summary(scan_outcomes(c)))
 
 
 @query("SELECT * FROM watched_folders")
@@ -381,9 +386,8 @@ def chunk_round_trip(spark, sf_dir):
     """Every text cut into small chunks, put together again and hashed."""
     contents = td.table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.encode("text", "UTF-8").alias("content")).distinct()
     pieces = vault.chunked(contents, least=256, target=1024, most=4096, strict=12, lax=8)
-    whole = pieces.groupBy("file_hash").agg(F.sort_array(F.collect_list(F.struct("idx", "content"))).alias("parts"), F.sum("size").alias("bytes"))
-    joined = F.aggregate("parts", F.lit(b"").cast("binary"), lambda s, x: F.concat(s, x["content"]))
-    return whole.select("file_hash", "bytes", (F.sha2(joined, 256) == F.col("file_hash")).alias("whole"))
+    whole = vault.put_together(pieces.withColumnRenamed("file_hash", "hash"), F.sum("size").alias("bytes"))
+    return whole.select(F.col("hash").alias("file_hash"), "bytes", (F.sha2("content", 256) == F.col("hash")).alias("whole"))
 
 
 @on_tables("SELECT sha256(text) AS hash, CASE WHEN bool_or(doc_id % 3 = 0) THEN 'ok' ELSE 'missing' END AS state, CAST(CASE WHEN bool_or(doc_id % 3 = 0) THEN any_value(octet_length(encode(text))) END AS BIGINT) AS bytes FROM documents WHERE text IS NOT NULL GROUP BY 1", views=False)

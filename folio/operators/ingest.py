@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folio.functions import text
 from folio.operators import changes
+from folio.plans.components import materialize
 from folio.schema import Catalogue, IngestConfig
 
 
@@ -120,3 +124,68 @@ def problems(attempts: DataFrame, cfg: IngestConfig = IngestConfig()) -> DataFra
     last_ok = attempts.where("state = 'free'").groupBy("path").agg(F.max("at").alias("_ok"))
     bad = attempts.where("state = 'unknown'").join(last_ok, "path", "left").where("_ok IS NULL OR at > _ok")
     return bad.groupBy("path").agg(F.count("*").alias("attempts")).where(F.col("attempts") >= cfg.open_attempts).orderBy("path")
+
+
+#: What scans remember of each path between them; rows of paths that are gone leave with their quiet time.
+SCAN_STATE = "path string, size long, mtime timestamp, stable_since timestamp, failures long, missing_since timestamp"
+
+
+@dataclass(frozen=True)
+class Scan:
+    """What one scan leaves: the catalogue, the state for the next one, the unreadable files, and one row of counters."""
+
+    catalogue: Catalogue
+    state: DataFrame
+    problems: DataFrame
+    counters: DataFrame
+
+
+def scan(c: Catalogue, state: DataFrame, listing: DataFrame, roots: DataFrame, read: Callable[[DataFrame], DataFrame], now: Column, cfg: IngestConfig = IngestConfig()) -> Scan:
+    """One scan over listing(path, size, mtime) of roots(path), after scans that left state (SCAN_STATE).
+
+    read gets the files to open (path, size, mtime) and returns them with
+    file_hash, still_same and open_state ("free", "locked", "unknown"). A file is
+    opened once it looked the same for its quiet time, unless it could not be
+    opened too often; then it waits for a change. A tracked file is forgotten when
+    it was missing for the flat quiet time. Tables that later steps read more than
+    once are written in between, so nothing is read from disk twice.
+    """
+    now = now.cast("timestamp")
+    since = lambda at: F.unix_micros(now) - F.unix_micros(at.cast("timestamp"))
+    before = state.select("path", F.struct("size", "mtime").alias("_look"), "stable_since", "failures")
+    looks = listing.select("path", "size", F.col("mtime").cast("timestamp").alias("mtime")).join(before, "path", "left")
+    same = F.coalesce(F.col("_look").eqNullSafe(F.struct("size", "mtime")) & F.col("stable_since").isNotNull(), F.lit(False))
+    looks = looks.select(
+        "path", "size", "mtime", F.when(same, F.col("stable_since")).otherwise(now).alias("stable_since"), F.when(same, F.col("failures")).otherwise(0).cast("long").alias("failures"),
+        (same & (since(F.col("stable_since")) >= quiet_for(F.col("size"), cfg) * 1_000_000)).alias("settled"),
+    )
+    looks = materialize(looks, "looks")
+    ripe = looks.where(F.col("settled") & (F.col("failures") < cfg.open_attempts)).select("path", "size", "mtime")
+    opened = materialize(read(worth_reading(ripe, c.observed_files, now, cfg)).select("path", "size", "mtime", "file_hash", "still_same", "open_state"), "opened")
+    outcomes = materialize(classify(opened.where("open_state = 'free'").drop("open_state"), c.observed_files, listing), "outcomes")
+    after = apply_outcomes(c, outcomes, now)
+
+    tried = looks.join(opened.select("path", "open_state").join(outcomes.select("path", "outcome"), "path", "left"), "path", "left")
+    failures = F.when(F.col("open_state") == "unknown", F.col("failures") + 1).when(F.col("open_state") == "free", 0).otherwise(F.col("failures"))
+    moved = F.coalesce(F.col("outcome") == "moved", F.lit(False))
+    tried = tried.withColumns({"failures": failures, "moved": moved, "stuck": F.col("settled") & (failures >= cfg.open_attempts)})
+    present = tried.where("NOT moved").select("path", "size", "mtime", "stable_since", "failures", F.lit(None).cast("timestamp").alias("missing_since"))
+
+    tracked = after.observed_files.select("path", F.lit(True).alias("tracked"))
+    known = state.join(tracked, "path", "full")
+    gone = vanished(known, listing, roots).withColumns({"missing_since": F.coalesce(F.col("missing_since"), now), "tracked": F.coalesce("tracked", F.lit(False))})
+    over = since(F.col("missing_since")) >= cfg.quiet_s * 1_000_000
+    gone = materialize(gone.withColumn("over", F.col("missing_since").isNotNull() & over), "gone")
+    elsewhere = state.join(listing.select("path"), "path", "left_anti").join(gone.select("path"), "path", "left_anti")
+    left = materialize(present.unionByName(gone.where("NOT over").select(*present.columns)).unionByName(elsewhere.select(*present.columns)), "state")
+    forgotten = gone.where("over AND tracked").select("path")
+    after = Catalogue(**{**after.__dict__, "observed_files": changes.delete_observed(after.observed_files, forgotten)})
+
+    busy = F.col("settled") & (F.col("moved") | (F.coalesce(F.col("open_state"), F.lit("free")) != "free"))
+    counts = tried.agg(
+        F.count_if(F.col("settled") & ~busy & ~F.col("stuck")).alias("settled"), F.count_if(F.col("outcome").isin("new_version", "new_asset")).alias("new_versions"), F.count_if(F.col("outcome") == "new_asset").alias("new_assets"),
+        F.count_if(F.col("outcome") == "renamed").alias("renamed"), F.count_if(~F.col("settled") | (busy & ~F.col("stuck"))).alias("waiting"), F.count_if(F.col("outcome") == "verified").alias("verified"), F.count_if("stuck").alias("unreadable"),
+    )
+    counters = counts.crossJoin(forgotten.agg(F.count("*").alias("vanished")))  # one row each
+    counters = counters.withColumn("changed", F.col("new_versions") + F.col("renamed") + F.col("vanished") > 0)
+    return Scan(after, left, left.where((F.col("failures") >= cfg.open_attempts) & F.col("missing_since").isNull()).select("path", F.col("failures").alias("attempts")), counters)

@@ -44,11 +44,18 @@ def png_header(data: bytes) -> tuple[int, int, int, int, int]:
     return w, h, depth, kind, lace
 
 
+#: Fixed values of the format: bit depths of each colour type, its channels, and the passes of an interlaced picture (first x, first y, step in x, step in y).
+DEPTHS = {0: (1, 2, 4, 8, 16), 2: (8, 16), 3: (1, 2, 4, 8), 4: (8, 16), 6: (8, 16)}
+CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
+PASSES = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
+
+
 def decode_png(data: bytes, limits: PreviewLimits = PreviewLimits()) -> np.ndarray:
+    """Any PNG; 16-bit samples keep their high byte, palette entries that are not there are black."""
     w, h, depth, kind, lace = png_header(data)
     if w < 1 or h < 1 or w * h > limits.pixels:
         raise Broken(f"{w}x{h} pixels")
-    if depth != 8 or lace or kind not in (0, 2, 3, 4, 6):
+    if depth not in DEPTHS.get(kind, ()) or lace > 1:
         raise Unsupported(f"depth {depth}, colour type {kind}")
     packed, palette, clear, at = [], None, None, 8
     while at + 8 <= len(data):
@@ -57,69 +64,105 @@ def decode_png(data: bytes, limits: PreviewLimits = PreviewLimits()) -> np.ndarr
         if name == b"IDAT":
             packed.append(body)
         elif name == b"PLTE":
-            palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
+            palette = body
         elif name == b"tRNS":
-            clear = np.frombuffer(body, np.uint8)
+            clear = body
         elif name == b"IEND":
             break
         at += 12 + size
-    channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[kind]
-    width = w * channels
-    unpacker = zlib.decompressobj()
+    samples = _samples(b"".join(packed), w, h, depth, CHANNELS[kind], PASSES if lace else ((0, 0, 1, 1),))
+    out = np.full((h, w, 4), 255, np.uint8)
+    if kind == 3:
+        if palette is None or len(palette) % 3 or len(palette) > 768 or len(clear or b"") > 256:
+            raise Broken("palette")
+        colours = np.zeros((256, 4), np.uint8)
+        colours[:, 3] = 255
+        colours[: len(palette) // 3, :3] = np.frombuffer(palette, np.uint8).reshape(-1, 3)
+        colours[: len(clear or b""), 3] = np.frombuffer(clear or b"", np.uint8)
+        return colours[samples[..., 0]]
+    colour = samples[..., : 1 if kind in (0, 4) else 3]
+    if clear is not None and kind in (0, 2):
+        if len(clear) != 2 * CHANNELS[kind]:
+            raise Broken("transparent colour")
+        out[(colour == np.frombuffer(clear, ">u2")).all(-1), 3] = 0
+    out[..., :3] = _as_bytes(colour, depth)
+    if kind in (4, 6):
+        out[..., 3] = _as_bytes(samples[..., -1], depth)
+    return out
+
+
+def _as_bytes(samples: np.ndarray, depth: int) -> np.ndarray:
+    return (samples >> 8 if depth == 16 else samples * (255 // ((1 << depth) - 1))).astype(np.uint8)
+
+
+def _samples(packed: bytes, w: int, h: int, depth: int, channels: int, passes: tuple) -> np.ndarray:
+    """The samples of all passes at their places, as they are stored."""
+    step = max(1, channels * depth // 8)  # how many bytes back a filter looks for the left neighbour
+    shapes = [(-(-max(0, h - y) // dy), -(-max(0, w - x) // dx)) for x, y, dx, dy in passes]
+    widths = [-(-pw * channels * depth // 8) for _, pw in shapes]
+    total = sum(ph * (width + 1) for (ph, _), width in zip(shapes, widths, strict=True) if width)
     try:
-        raw = unpacker.decompress(b"".join(packed), h * (width + 1))
+        raw = zlib.decompressobj().decompress(packed, total)
     except zlib.error as e:
         raise Broken(str(e)) from e
-    if len(raw) < h * (width + 1):
+    if len(raw) < total:
         raise Broken("truncated")
-    lines = np.frombuffer(raw, np.uint8)[: h * (width + 1)].reshape(h, width + 1)
-    rows = _unfiltered(lines[:, 0], lines[:, 1:].reshape(h, w, channels))
-    out = np.full((h, w, 4), 255, np.uint8)
-    if kind == 3:
-        if palette is None or rows.max(initial=0) >= len(palette):
-            raise Broken("palette")
-        out[..., :3] = palette[rows[..., 0]]
-        if clear is not None:
-            alpha = np.full(256, 255, np.uint8)
-            alpha[: len(clear)] = clear
-            out[..., 3] = alpha[rows[..., 0]]
-    else:
-        out[..., :3] = rows[..., : 1 if kind in (0, 4) else 3]
-        if kind in (4, 6):
-            out[..., 3] = rows[..., -1]
+    out, at = np.zeros((h, w, channels), np.uint16 if depth == 16 else np.uint8), 0
+    for (x, y, dx, dy), (ph, pw), width in zip(passes, shapes, widths, strict=True):
+        if not ph or not pw:
+            continue
+        lines = np.frombuffer(raw, np.uint8, ph * (width + 1), at).reshape(ph, width + 1)
+        at += lines.size
+        plain = _unfiltered(lines[:, 0], lines[:, 1:].reshape(ph, width // step, step)).reshape(ph, width)
+        if depth == 16:
+            plain = plain.view(">u2")
+        elif depth < 8:
+            bits = np.unpackbits(plain, axis=1).reshape(ph, -1, depth)
+            plain = bits[:, :pw] @ (1 << np.arange(depth - 1, -1, -1)).astype(np.uint8)
+        out[y::dy, x::dx] = plain.reshape(ph, pw, channels)
     return out
 
 
+BAND = 256
+
+
 def _unfiltered(kinds: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """Undo the filters, a band of rows at a time."""
+    if kinds.max(initial=0) > 4:
+        raise Broken(f"filter {kinds.max()}")
     out = np.zeros_like(lines)
     above = np.zeros_like(lines[0])
+    for start in range(0, len(lines), BAND):
+        part, band = kinds[start : start + BAND], lines[start : start + BAND]
+        out[start : start + BAND] = _by_rows(part, band, above) if part.max() < 3 else _by_diagonals(part, band, above)
+        above = out[start + len(band) - 1]
+    return out
+
+
+def _by_rows(kinds: np.ndarray, lines: np.ndarray, above: np.ndarray) -> np.ndarray:
+    out = np.empty_like(lines)
     for y, kind in enumerate(kinds.tolist()):
         line = lines[y]
-        if kind == 0:
-            row = line
-        elif kind == 1:
-            row = np.cumsum(line, 0, dtype=np.uint64).astype(np.uint8)
-        elif kind == 2:
-            row = line + above
-        elif kind in (3, 4):
-            row, left, corner = np.empty_like(line), np.zeros(line.shape[1], np.int64), np.zeros(line.shape[1], np.int64)
-            for x in range(len(line)):
-                up = above[x].astype(np.int64)
-                if kind == 3:
-                    guess = (left + up) // 2
-                else:
-                    p = left + up - corner
-                    a, b, c = abs(p - left), abs(p - up), abs(p - corner)
-                    guess = np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
-                left = (line[x] + guess) & 255
-                row[x] = left
-                corner = up
-        else:
-            raise Broken(f"filter {kind}")
-        out[y] = above = row
+        out[y] = above = line if kind == 0 else np.cumsum(line, 0, dtype=np.uint64).astype(np.uint8) if kind == 1 else line + above
     return out
 
 
+def _by_diagonals(kinds: np.ndarray, lines: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """A pixel waits for those to its left, above and between, so all with equal x + y are free at once."""
+    h, w, step = lines.shape
+    out = np.zeros((h + 1, w + 1, step), np.int16)
+    out[0, 1:] = above
+    for t in range(h + w - 1):
+        y = np.arange(max(0, t - w + 1), min(h, t + 1))
+        x = t - y
+        left, up, corner = out[y + 1, x], out[y, x + 1], out[y, x]
+        a, b, c = abs(up - corner), abs(left - corner), abs(left + up - 2 * corner)
+        nearest = np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
+        guess = np.choose(kinds[y][:, None], [np.zeros_like(left), left, up, (left + up) >> 1, nearest])
+        out[y + 1, x + 1] = (lines[y, x] + guess) & 255
+    return out[1:, 1:].astype(np.uint8)
+
+
 def encode_png(picture: np.ndarray) -> bytes:
     opaque = not has_transparency(picture)
     body = picture[..., :3] if opaque else picture

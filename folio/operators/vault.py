@@ -6,9 +6,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folio.plans.components import materialize
+
 # Fixed values of the chunk format: they decide where contents are cut.
 MIN_CHUNK, TARGET_CHUNK, MAX_CHUNK = 256 << 10, 1 << 20, 4 << 20
 STRICT_BITS, LAX_BITS = 22, 18
@@ -55,14 +57,21 @@ def cut_points(data: bytes, least: int = MIN_CHUNK, target: int = TARGET_CHUNK,
     return cuts
 
 
-def chunked(contents: DataFrame, **bounds) -> DataFrame:
-    """file_hash, idx, chunk_hash, size, content for each chunk of contents(content BINARY, ...); a chunk is emitted as it is cut."""
+def chunked(contents: DataFrame, once: bool = False, **bounds) -> DataFrame:
+    """file_hash, idx, chunk_hash, size, content for each chunk of contents(content BINARY, ...); a chunk is emitted as it is cut.
+
+    With once, a task cuts equal contents only the first time; other tasks may cut them again.
+    """
 
     def run(batches):
+        cut = set()
         for batch in batches:
             for content in batch.column(0):
                 data = content.as_py() or b""
                 whole, start = hashlib.sha256(data).hexdigest(), 0
+                if once and whole in cut:
+                    continue
+                cut.add(whole)
                 for idx, end in enumerate(cut_points(data, **bounds)):
                     piece = data[start:end]
                     yield pa.RecordBatch.from_arrays([pa.array([whole]), pa.array([idx], pa.int32()), pa.array([hashlib.sha256(piece).hexdigest()]), pa.array([len(piece)], pa.int64()), pa.array([piece], pa.binary())], ["file_hash", "idx", "chunk_hash", "size", "content"])
@@ -75,17 +84,19 @@ def store(contents: DataFrame, files: DataFrame, chunks: DataFrame, file_chunks:
     """Each row of contents(content) stored once more: the new files, chunks, file_chunks and the chunk_data to append.
 
     A file that is known only counts one reference more. A new file counts its
-    chunks, each as often as it occurs. Give contents as a written table: it is
-    read for the hashes and, without what is known, for the chunks.
+    chunks, each as often as it occurs. Null contents aren't stored. Give contents
+    as a written table: it is read for the hashes and, without what is known, for
+    the chunks. The chunks are written before they are counted, so each content is
+    cut in one pass, and no whole content is shuffled but to drop the known ones.
     """
-    stored = contents.select(F.sha2("content", 256).alias("hash"), F.octet_length("content").cast("long").alias("size"))
-    counts = stored.groupBy("hash").agg(F.min("size").alias("size"), F.count("*").alias("refcount"))
-    new_files = add_counts(files, counts)
-    fresh = contents.withColumn("hash", F.sha2("content", 256)).join(files.select("hash"), "hash", "left_anti").groupBy("hash").agg(F.first("content").alias("content"))
-    pieces = chunked(fresh, **bounds)
-    used = pieces.groupBy(F.col("chunk_hash").alias("hash")).agg(F.min("size").alias("size"), F.count("*").alias("refcount"))
-    data = pieces.join(known.select(F.col("hash").alias("chunk_hash")), "chunk_hash", "left_anti").groupBy(F.col("chunk_hash").alias("hash")).agg(F.first("content").alias("content"))
-    return {"files": new_files, "chunks": add_counts(chunks, used), "file_chunks": file_chunks.unionByName(pieces.select("file_hash", "idx", "chunk_hash")), "chunk_data": data}
+    hashed = contents.where("content IS NOT NULL").select("content", F.sha2("content", 256).alias("hash"))
+    counts = hashed.select("hash", F.octet_length("content").cast("long").alias("size")).groupBy("hash").agg(F.min("size").alias("size"), F.count("*").alias("refcount"))
+    fresh = hashed.join(files.select("hash"), "hash", "left_anti")
+    pieces = materialize(chunked(fresh, once=True, **bounds), "pieces")
+    places = pieces.select("file_hash", "idx", "chunk_hash", "size").distinct()
+    used = places.groupBy(F.col("chunk_hash").alias("hash")).agg(F.min("size").alias("size"), F.count("*").alias("refcount"))
+    data = pieces.groupBy(F.col("chunk_hash").alias("hash")).agg(F.first("content").alias("content")).join(known.select("hash"), "hash", "left_anti")
+    return {"files": add_counts(files, counts), "chunks": add_counts(chunks, used), "file_chunks": file_chunks.unionByName(places.select("file_hash", "idx", "chunk_hash")), "chunk_data": data}
 
 
 def add_counts(table: DataFrame, more: DataFrame) -> DataFrame:
@@ -145,15 +156,27 @@ def gc_stats(doomed: DataFrame) -> DataFrame:
     return doomed.agg(F.count("*").alias("chunks"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
 
 
+def restored_pieces(file_chunks: DataFrame, chunk_data: DataFrame, hashes: DataFrame) -> DataFrame:
+    """hash, idx, content, whole for the chunks of hashes(hash): whole is false where a chunk is missing or isn't what its name says."""
+    proven = chunk_data.select(F.col("hash").alias("chunk_hash"), "content", (F.sha2("content", 256) == F.col("hash")).alias("whole"))
+    asked = file_chunks.withColumnRenamed("file_hash", "hash").join(hashes.select("hash"), "hash", "left_semi")
+    return asked.join(proven, "chunk_hash", "left").select("hash", "idx", "content", F.coalesce("whole", F.lit(False)).alias("whole"))
+
+
+def put_together(pieces: DataFrame, *more: Column) -> DataFrame:
+    """hash, content and more for the chunks of each hash, in order; a content must fit into one row (2 GB)."""
+    return pieces.groupBy("hash").agg(F.expr("listagg(content) WITHIN GROUP (ORDER BY idx)").alias("content"), *more)
+
+
 def restore(files: DataFrame, file_chunks: DataFrame, chunk_data: DataFrame, hashes: DataFrame) -> DataFrame:
-    """hash, state ("ok", "missing", "corrupt") and content for each row of hashes(hash); content only where all chunks prove whole."""
-    verified = chunk_data.select(F.col("hash").alias("chunk_hash"), "content", (F.sha2("content", 256) == F.col("hash")).alias("_whole"))
+    """hash, state ("ok", "missing", "corrupt") and content for each row of hashes(hash); content only where all chunks prove whole.
+
+    A content becomes one row; larger ones can be written piece by piece from restored_pieces().
+    """
     wanted = hashes.join(files.select("hash", F.lit(True).alias("_known")), "hash", "left")
-    pieces = file_chunks.withColumnRenamed("file_hash", "hash").join(hashes.select("hash"), "hash", "left_semi").join(verified, "chunk_hash", "left")
-    whole = pieces.groupBy("hash").agg(F.min(F.coalesce("_whole", F.lit(False))).alias("_whole"), F.sort_array(F.collect_list(F.struct("idx", "content"))).alias("_parts"))
-    joined = F.aggregate("_parts", F.lit(b"").cast("binary"), lambda s, x: F.concat(s, x["content"]))
+    joined = put_together(restored_pieces(file_chunks, chunk_data, hashes), F.min("whole").alias("_whole"))
     state = F.when(F.col("_known").isNull(), "missing").when(F.coalesce("_whole", F.lit(True)), "ok").otherwise("corrupt")
-    return wanted.join(whole, "hash", "left").select("hash", state.alias("state"), F.when(state == "ok", F.coalesce(joined, F.lit(b"").cast("binary"))).alias("content"))
+    return wanted.join(joined, "hash", "left").select("hash", state.alias("state"), F.when(state == "ok", F.coalesce("content", F.lit(b"").cast("binary"))).alias("content"))
 
 
 def exportable(versions: DataFrame, ids: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import io
 import itertools
 import random
 import zipfile
+import zlib
 
 import numpy as np
 
@@ -394,6 +395,42 @@ def test_problems_need_five_tries(spark):
     assert rows(ingest.problems(spark.createDataFrame(states, "path string, state string, at long"))) == [("a", 5)]
 
 
+def test_scans_follow_files_from_first_sight_to_forgetting(spark, make):
+    c, hashes, states = make(observed_files=[tracked("/w/old.psd", 1, "h0")], assets=[(1, "old", at(0), at(0))], versions=[version(1, 1, "h0", path="/w/old.psd")]), {}, {}
+    state, roots = spark.createDataFrame([], ingest.SCAN_STATE), spark.createDataFrame([("/w/",)], "path string")
+    opened = []
+
+    def read(files):
+        got = [(*r, hashes.get(r[0], "h-" + r[0]), states.get(r[0], "free") != "moved", states.get(r[0], "free").replace("moved", "free")) for r in rows(files, "path", "size", "mtime")]
+        opened.append([r[0] for r in got])
+        return spark.createDataFrame(got, "path string, size long, mtime timestamp, file_hash string, still_same boolean, open_state string")
+
+    def scan(seconds, **files):
+        nonlocal c, state
+        listing = spark.createDataFrame([(f"/w/{n}.psd", size, at(0)) for n, size in files.items()], "path string, size long, mtime timestamp")
+        got = ingest.scan(c, state, listing, roots, read, lit(at(20) + dt.timedelta(seconds=seconds)), IngestConfig(open_attempts=2))
+        now_local = lambda df: spark.createDataFrame(df.collect(), df.schema)
+        c, state = Catalogue(**{k: now_local(v) if k in ("assets", "versions", "observed_files", "grouping_decisions", "tickets") else v for k, v in got.catalogue.__dict__.items()}), now_local(got.state)
+        n = got.counters.first().asDict()
+        return {k: v for k, v in n.items() if v}, rows(got.problems)
+
+    assert scan(0, a=5, b=7) == ({"waiting": 2}, []) and opened == [[]]  # first sight, and the old file begins to be missing
+    states |= {"/w/a.psd": "moved", "/w/b.psd": "unknown"}
+    hashes["/w/new.psd"] = "h0"
+    assert scan(3, a=5, b=8, new=9) == ({"waiting": 3, "vanished": 1, "changed": True}, []) and opened[-1] == ["/w/a.psd"]  # b changed
+    states["/w/a.psd"] = "free"
+    assert scan(6, a=5, b=8, new=9) == ({"waiting": 2, "settled": 1, "new_versions": 1, "new_assets": 1, "changed": True}, [])  # new: nothing left to be a rename of; a starts over, b fails once
+    assert scan(9, a=5, b=8, new=9) == ({"unreadable": 1, "settled": 2, "new_versions": 1, "new_assets": 1, "changed": True}, [("/w/b.psd", 2)])
+    assert scan(12, a=5, b=8, new=9) == ({"unreadable": 1, "settled": 2}, [("/w/b.psd", 2)]) and opened[-1] == []
+    hashes["/w/moved.psd"] = "h-/w/a.psd"
+    states.clear()
+    assert scan(14, b=9, new=9, moved=5) == ({"settled": 1, "waiting": 2}, [])  # b changed, so it is tried again
+    assert scan(17, b=9, new=9, moved=5)[0] == {"settled": 3, "new_versions": 1, "new_assets": 1, "renamed": 1, "changed": True}
+    assert rows(c.observed_files, "path", "last_hash") == [("/w/b.psd", "h-/w/b.psd"), ("/w/moved.psd", "h-/w/a.psd"), ("/w/new.psd", "h0")]
+    assert scan(3600 + 17, b=9, new=9, moved=5)[0] == {"settled": 3, "verified": 3}
+    assert state.count() == 3
+
+
 def test_listing_leaves_noise_out(spark, tmp_path):
     for name in ("a.psd", "sub/b.png", "sub/~$b.png", "x.tmp", ".git/config", "node_modules/y.js"):
         (tmp_path / name).parent.mkdir(exist_ok=True, parents=True)
@@ -433,6 +470,59 @@ def test_png_filters_undo():
     assert (previews._unfiltered(np.array(kinds), np.array(out).astype(np.uint8)) == lines).all()
 
 
+def as_png(w, h, depth, kind, lines, lace=0, extra=b""):
+    piece = lambda name, data: len(data).to_bytes(4, "big") + name + data + b"crc."
+    head = w.to_bytes(4, "big") + h.to_bytes(4, "big") + bytes([depth, kind, 0, 0, lace])
+    return previews.PNG_MARK + piece(b"IHDR", head) + extra + piece(b"IDAT", zlib.compress(lines)) + piece(b"IEND", b"")
+
+
+def test_png_of_every_depth():
+    chunk = lambda name, data: len(data).to_bytes(4, "big") + name + data + b"crc."
+    grey = lambda *a, **k: previews.decode_png(as_png(*a, **k))[..., 0].tolist()
+    assert grey(3, 2, 1, 0, b"\0\xa0\0\x40") == [[255, 0, 255], [0, 255, 0]]
+    assert grey(3, 1, 2, 0, b"\0\x1b") == [[0, 85, 170]] and grey(3, 1, 4, 0, b"\0\x0f\x80") == [[0, 255, 136]]
+    wide = previews.decode_png(as_png(2, 1, 16, 6, b"\1" + bytes([1, 2, 3, 4, 5, 6, 7, 8]) + bytes([1, 0, 1, 0, 1, 0, 1, 0])))
+    assert wide.tolist() == [[[1, 3, 5, 7], [2, 4, 6, 8]]]
+    dull = previews.decode_png(as_png(2, 1, 16, 0, b"\0\x12\x34\x12\x35", extra=chunk(b"tRNS", b"\x12\x34")))
+    assert dull.tolist() == [[[18, 18, 18, 0], [18, 18, 18, 255]]]
+    key = previews.decode_png(as_png(2, 1, 8, 2, b"\0\1\2\3\1\2\4", extra=chunk(b"tRNS", b"\0\1\0\2\0\3")))
+    assert key[..., 3].tolist() == [[0, 255]]
+    table = previews.decode_png(as_png(4, 1, 2, 3, b"\0\x1b", extra=chunk(b"PLTE", b"abcdef") + chunk(b"tRNS", b"\7")))
+    assert table.tolist() == [[[97, 98, 99, 7], [100, 101, 102, 255], [0, 0, 0, 255], [0, 0, 0, 255]]]
+    for bad in (as_png(2, 1, 8, 2, b"\0\1\2\3\1\2\4", extra=chunk(b"tRNS", b"\0")), as_png(4, 1, 2, 3, b"\0\x1b"), as_png(3, 2, 8, 0, b"\5abc\0abc"), as_png(3, 2, 8, 0, b"\0abc")):
+        with pytest.raises(previews.Broken):
+            previews.decode_png(bad)
+    for odd in (as_png(1, 1, 16, 3, b"\0\0\0"), as_png(1, 1, 3, 0, b"\0\0"), as_png(1, 1, 8, 5, b"\0\0")):
+        with pytest.raises(previews.Unsupported):
+            previews.decode_png(odd)
+
+
+@pytest.mark.parametrize("h,w", [(13, 11), (1, 1), (2, 9), (8, 8), (5, 3)])
+def test_png_in_seven_passes(h, w):
+    p = picture(h, w, alpha=True)
+    order = [[1, 6, 4, 6, 2, 6, 4, 6], [7] * 8, [5, 6, 5, 6, 5, 6, 5, 6], [7] * 8, [3, 6, 4, 6, 3, 6, 4, 6], [7] * 8, [5, 6, 5, 6, 5, 6, 5, 6], [7] * 8]
+    lines = b""
+    for k in range(1, 8):
+        for y in range(h):
+            part = [p[y, x].tobytes() for x in range(w) if order[y % 8][x % 8] == k]
+            lines += b"\0" + b"".join(part) if part else b""
+    assert (previews.decode_png(as_png(w, h, 8, 6, lines, lace=1)) == p).all()
+
+
+def test_png_filters_undo_over_bands():
+    r = np.random.default_rng(5)
+    kinds, lines = r.integers(0, 5, 600), r.integers(0, 256, (600, 9, 3), dtype=np.uint8)
+    lines[300:, :, :] &= 1
+    got, above = previews._unfiltered(kinds, lines).astype(int), np.zeros((9, 3), int)
+    for kind, line, row in zip(kinds, lines.astype(int), got, strict=True):
+        left, corner = (np.concatenate([np.zeros((1, 3), int), v[:-1]]) for v in (row, above))
+        p = left + above - corner
+        a, b, c = abs(p - left), abs(p - above), abs(p - corner)
+        guess = [0 * row, left, above, (left + above) // 2, np.where((a <= b) & (a <= c), left, np.where(b <= c, above, corner))][kind]
+        assert (row == (line + guess) & 255).all()
+        above = row
+
+
 def test_hash_of_scaled_pictures_is_stable():
     y, x = np.mgrid[:128, :128]
     p = np.full((128, 128, 4), 255, np.uint8)
