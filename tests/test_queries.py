@@ -54,7 +54,7 @@ def edge_embeddings():
     return pa.table({"vec_id": pa.array(range(len(whole)), pa.int64()), "embedding": pa.array(whole, pa.list_(pa.float32())), "label": pa.array([0] * len(whole), pa.int32())})
 
 
-@pytest.mark.parametrize("name", ["hamming_pairs", "phash_bits", "phashes_set", "preview_phash"])
+@pytest.mark.parametrize("name", ["hamming_pairs", "phash_bits", "phashes_set", "preview_phash", "previews_replaced"])
 def test_hashes_of_edge_cells_equal_sql(spark, tmp_path, name):
     sf_dir = tables(tmp_path, embeddings=edge_embeddings())
     assert by_query(spark, name, sf_dir) == by_sql(name, sf_dir)
