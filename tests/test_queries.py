@@ -9,6 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from folio import catalog_queries
+from folio.plans.pairs import paired
 
 BASE = "/root/testdata/sf0.001"
 
@@ -58,3 +59,20 @@ def edge_embeddings():
 def test_hashes_of_edge_cells_equal_sql(spark, tmp_path, name):
     sf_dir = tables(tmp_path, embeddings=edge_embeddings())
     assert by_query(spark, name, sf_dir) == by_sql(name, sf_dir)
+
+
+def test_folder_tree_splits_no_path_of_a_pair(spark, tmp_path):
+    sf_dir = tables(tmp_path)
+    df = catalog_queries.QUERIES["folder_tree"](spark, sf_dir)
+    plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    first = next(i for i, line in enumerate(plan) if "Join" in line)
+    assert not any("regexp" in line for line in plan[:first])
+    assert not any(x in df._jdf.queryExecution().executedPlan().toString() for x in ("NestedLoop", "Cartesian"))
+    assert sorted(tuple(r) for r in df.collect()) == by_sql("folder_tree", sf_dir)
+
+
+def test_slices_meet_once(spark):
+    a = spark.createDataFrame([(x % 2, x) for x in range(40)], "k int, a int")
+    b = spark.createDataFrame([(x % 3, x) for x in range(30)], "k int, b int")
+    want = sorted((x % 2, x, y) for x in range(40) for y in range(30) if x % 2 == y % 3)
+    assert sorted(map(tuple, paired(a, b, ["k"], 3).collect())) == want
