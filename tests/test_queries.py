@@ -76,3 +76,11 @@ def test_slices_meet_once(spark):
     b = spark.createDataFrame([(x % 3, x) for x in range(30)], "k int, b int")
     want = sorted((x % 2, x, y) for x in range(40) for y in range(30) if x % 2 == y % 3)
     assert sorted(map(tuple, paired(a, b, ["k"], 3).collect())) == want
+
+
+def test_score_pairs_splits_no_path_of_a_pair(spark, tmp_path):
+    sf_dir = tables(tmp_path)
+    df = catalog_queries.QUERIES["score_pairs"](spark, sf_dir)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan[: plan.index("Join")]
+    assert sorted(tuple(r) for r in df.collect()) == by_sql("score_pairs", sf_dir)
