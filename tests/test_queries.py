@@ -1,7 +1,10 @@
 """Queries of the catalogue against their SQL, over small tables with odd rows."""
 
 import os
+import random
 import struct
+from collections import Counter
+from datetime import datetime, timedelta
 
 import duckdb
 import pyarrow as pa
@@ -9,7 +12,9 @@ import pyarrow.parquet as pq
 import pytest
 
 from folio import catalog_queries
+from folio.operators import grouping
 from folio.plans.pairs import paired
+from folio.schema import Weights
 
 BASE = "/root/testdata/sf0.001"
 
@@ -84,3 +89,24 @@ def test_score_pairs_splits_no_path_of_a_pair(spark, tmp_path):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp" not in plan[: plan.index("Join")]
     assert sorted(tuple(r) for r in df.collect()) == by_sql("score_pairs", sf_dir)
+
+
+def test_links_are_counted_without_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    folders = ["/", "/w", "/w/a", "/w/a/b", "/v", ".", "x", "x/y"]
+    bases = [rng.getrandbits(63) for _ in range(4)]
+    rows = []
+    for k in range(240):
+        folder = rng.choice(folders)
+        name = rng.choice(["rose", "rosa", "roses", "tulip", "tulips red", ""])
+        bits = None if rng.random() < 0.4 else rng.choice(bases) ^ (rng.getrandbits(63) & rng.getrandbits(63) & rng.getrandbits(63) & rng.getrandbits(63)) ^ -(rng.getrandbits(1) << 63)
+        at = None if rng.random() < 0.03 else datetime(2026, 9, 9) + timedelta(minutes=rng.randrange(1500))
+        rows.append(({"/": "/", ".": ""}.get(folder, folder + "/") + f"{k}.psd", 1, name, at, bits))
+    cands = spark.createDataFrame(rows, "path string, asset_id long, name string, modified_at timestamp_ntz, bits long")
+    for w in (Weights(), Weights(threshold=0.8), Weights(threshold=0.85, time_window_s=0)):
+        pairs = grouping.scored_pairs(cands, w)
+        want = Counter(p for r in pairs.select("path_a", "path_b").collect() for p in r)
+        assert want and dict(map(tuple, grouping.link_counts(cands, w).collect())) == want
+    with monkeypatch.context() as m:
+        m.delattr(grouping, "scored_pairs")
+        assert catalog_queries.QUERIES["link_counts"](spark, BASE).count()
