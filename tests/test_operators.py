@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folio.operators import catalogue, changes, grouping, ingest, previews, retention, vault
+from folio.plans import unions
 from folio.schema import TABLES, Catalogue, IngestConfig
 from folio.sources import folders, tables
 from folio.streaming import debounce
@@ -250,6 +251,57 @@ def test_ordered_union_equals_the_plain_one(seed):
     assert sum(got[number[x]] != got[number[y]] for x, y in ordered) == refused
 
 
+def union_of(files, listed, apart, together, w):
+    """nearest_union() of files (name, microseconds, pictured) with the listed pairs {(i, j): total} of two pictures."""
+    names = sorted({f[0] for f in files})
+    near = [(a, b, s) for a in range(len(names)) for b in range(len(names)) if (s := 1.0 if a == b else 0.86 if (a + b) % 2 else 0.72) and (a == b or (a + b) % 3)]
+    ints = lambda ps: np.array(sorted(ps), np.int64).reshape(-1, 2)
+    edges = sorted(listed, key=lambda p: (-listed[p], p))
+    flat = w.time_window_s <= 0 or not w.time
+    at = np.array([0 if flat else f[1] for f in files], np.int64)
+    got, refused = unions.nearest_union(
+        np.array([names.index(f[0]) for f in files], np.int64), at, np.array([f[2] for f in files], bool), tuple(np.array(c) for c in zip(*near, strict=True)), grouping._plain_total(w),
+        lambda s: grouping._widest(s, w, -1), w.threshold, int(w.time_window_s * 1e6), np.array(edges, np.int64).reshape(-1, 2), np.array([listed[p] for p in edges], float), ints(apart), ints(together),
+    )
+    plain = grouping._plain_total(w)
+    scores = {(a, b): s for a, b, s in near}
+    every = dict(listed)
+    for i, j in itertools.combinations(range(len(files)), 2) if len(files) < 1000 else ():
+        if not (files[i][2] and files[j][2]) and (s := scores.get((names.index(files[i][0]), names.index(files[j][0])))):
+            if (total := float(plain(np.array([s]), np.array([abs(at[i] - at[j])]))[0])) >= w.threshold:
+                every[i, j] = total
+    return got.tolist(), refused, [(i, j, s) for (i, j), s in every.items()]
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_nearest_union_equals_the_plain_one(seed):
+    """Few and many names, instants, pictures and decisions, and weights that make times count, count little or not at all."""
+    r = random.Random(seed)
+    w = grouping.Weights(time=r.choice([0.1, 0.1, 0.4, 0.0]), time_window_s=r.choice([8 * 3600, 1200, 0]), threshold=r.choice([0.62, 0.75]))
+    files = [(f"n{r.randrange(r.choice([1, 3, 8]))}", r.randrange(r.choice([2, 30, 3000])) * 60_000_000, r.random() < r.choice([0.0, 0.4])) for _ in range(r.choice([2, 25, 70]))]
+    pairs = list(itertools.combinations(range(len(files)), 2))
+    listed = {p: r.choice([0.7, 0.8, 0.875, 0.9, 1.0]) for p in pairs if files[p[0]][2] and files[p[1]][2] and r.random() < 0.5}
+    some = r.sample(pairs, min(len(pairs), r.choice([1, 6, 40])))
+    together = {p for p in some if r.random() < 0.3}
+    got, refused, every = union_of(files, {p: s for p, s in listed.items() if p not in together}, set(some) - together, together, w)
+    want, want_refused = plain_clusters(every, together, set(some) - together, range(len(files)))
+    assert got == [want[i] for i in range(len(files))] and refused == want_refused
+
+
+def test_many_files_of_one_name_with_decisions_make_no_pairs():
+    """40,000 files, 800 million links: each two of 50 files in a row of time are kept apart."""
+    n = 40_000
+    files = [("poster", (i * 7919 % n) * 60_000_000, i % 4 == 0) for i in range(n)]
+    inverse = {i * 7919 % n: i for i in range(n)}
+    apart = {tuple(sorted((inverse[k], inverse[k + 50]))) for k in range(0, 20_000, 500)}
+    got, refused, _ = union_of(files, {}, apart, set(), grouping.Weights())
+    label = np.array(got)
+    assert all(label[a] != label[b] for a, b in apart)
+    seen = np.arange(n) % 4 == 0
+    links = lambda i: len(i) * (len(i) - 1) // 2 - seen[i].sum() * (seen[i].sum() - 1) // 2
+    assert refused == links(np.arange(n)) - sum(links(np.flatnonzero(label == k)) for k in np.unique(label))
+
+
 def plain_total(a, b, w):
     """The score of two files (path, name, minutes, bits), written out."""
     longest = max(len(a[1]), len(b[1]))
