@@ -10,8 +10,10 @@ import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from folio import catalog_queries
+from folio.functions import similarity
 from folio.operators import grouping
 from folio.plans.pairs import paired
 from folio.schema import Weights
@@ -110,3 +112,40 @@ def test_links_are_counted_without_pairs(spark, monkeypatch):
     with monkeypatch.context() as m:
         m.delattr(grouping, "scored_pairs")
         assert catalog_queries.QUERIES["link_counts"](spark, BASE).count()
+
+
+def test_slices_of_one_table_meet_once(spark):
+    a = spark.createDataFrame([(x % 2, x % 2 == 0, x) for x in range(40)], "k int, own boolean, a int")
+    b = spark.createDataFrame([(x % 2, x) for x in range(40)], "k int, b int")
+    for slices in (1, 3):
+        got = [tuple(r) for r in paired(a, b, ["k"], slices, ("own", "a", "b")).select("k", "a", "b").collect()]
+        assert sorted((k, *sorted((x, y))) for k, x, y in got if k == 0) == [(0, x, y) for x in range(0, 40, 2) for y in range(x + 2, 40, 2)]
+        assert sorted(r for r in got if r[0]) == [(1, x, y) for x in range(1, 40, 2) for y in range(1, 40, 2)]
+
+
+def test_files_out_of_reach_do_not_meet(spark, monkeypatch):
+    met = []
+    monkeypatch.setattr(grouping, "paired", lambda *args: met.append(paired(*args)) or met[-1])
+    # names 0.6 alike link within two hours, names 0.5 alike only by pictures
+    rows = [(f"/{name}/{k}.psd", 1, name, datetime(2026, 9, 9) + timedelta(days=k, minutes=k % 200), None) for name in ("aaaaaabbbb", "aaaaaacccc", "aaaaabdddd") for k in range(100)]
+    cands = spark.createDataFrame(rows, "path string, asset_id long, name string, modified_at timestamp_ntz, bits long")
+    links = grouping.scored_pairs(cands).count()
+    assert links == 3 * 4950 + 100
+    assert sum(df.count() for df in met) <= 3 * 4950 + 300
+
+
+def test_score_pairs_within_reach_equal_all_pairs(spark):
+    rng = random.Random(7)
+    bases, folders = [rng.getrandbits(63) for _ in range(3)], ["/w", "/w/a", "/v"]
+    rows = []
+    for k in range(160):
+        bits = None if rng.random() < 0.5 else rng.choice(bases) ^ (rng.getrandbits(63) & rng.getrandbits(63) & rng.getrandbits(63)) ^ -(rng.getrandbits(1) << 63)
+        at = None if rng.random() < 0.05 else datetime(1969, 12, 31) + timedelta(minutes=rng.choice([rng.randrange(3000), 480 * rng.randrange(6)]))
+        rows.append((f"{rng.choice(folders)}/{k}.psd", 1, rng.choice(["hot rod", "hot rope", "old rod", "cold rod", "cold plate", "hot plate", "", None]), at, bits))
+    cands = spark.createDataFrame(rows, "path string, asset_id long, name string, modified_at timestamp_ntz, bits long").cache()
+    a, b = grouping._sides(cands)
+    columns = ["path_a", "path_b", "name_score", "time_score", "image_score", "has_image", "distance", "vetoed", "total"]
+    for w in (Weights(), Weights(threshold=0.8), Weights(threshold=0.75, time_window_s=0), Weights(name=0.5, time=0.5, image=0.0), Weights(name=0.8, time=0.0), Weights(threshold=1.0), Weights(time_window_s=1)):
+        parts = similarity.score(*(F.col(f"{x}_{s}") for x in ("name", "modified_at", "bits", "path") for s in "ab"), w)
+        want = a.crossJoin(b).where("path_a < path_b").where((F.col("name_a").isNotNull() & F.col("name_b").isNotNull()) & (parts["total"] >= w.threshold)).select("path_a", "path_b", *(v.alias(k) for k, v in parts.items()))
+        assert Counter(map(tuple, grouping.scored_pairs(cands, w).select(columns).collect())) == Counter(map(tuple, want.select(columns).collect())), w
