@@ -288,6 +288,52 @@ def test_nearest_union_equals_the_plain_one(seed):
     assert got == [want[i] for i in range(len(files))] and refused == want_refused
 
 
+@pytest.mark.parametrize("seed", range(60))
+def test_nearest_union_finds_links_of_pictures(monkeypatch, seed):
+    """Pairs of two pictures aren't listed, but those that only folder trees link; few and many looks, twins, and decisions."""
+    r = random.Random(seed)
+    monkeypatch.setattr(unions, "_STEPS", r.choice([0, 1, 16]))
+    w = grouping.Weights(time=r.choice([0.1, 0.1, 0.4, 0.0]), time_window_s=r.choice([8 * 3600, 1200, 0]), threshold=r.choice([0.62, 0.75]))
+    bases = [r.getrandbits(64) for _ in range(r.choice([1, 3]))]
+    spread, names, instants = r.choice([(0,), (0, 5, 15, 24, 30)]), r.choice([1, 3, 8]), r.choice([2, 30, 3000])
+    looks = [r.choice(bases) ^ sum(1 << b for b in r.sample(range(64), r.choice(spread))) for _ in range(12)]
+    flat = w.time_window_s <= 0 or not w.time
+    files = [(r.randrange(names), 0 if flat else r.randrange(instants) * 60_000_000, r.choice(looks) if r.random() < 0.6 else None) for _ in range(r.choice([2, 25, 90]))]
+    score = lambda a, b: 1.0 if a == b else 0.0 if not (a + b) % 3 else 0.86 if (a + b) % 2 else 0.72
+    every, listed = {}, {}
+    for (i, a), (j, b) in itertools.combinations(enumerate(files), 2):
+        if not (s := score(a[0], b[0])):
+            continue
+        near = 0.0 if w.time_window_s <= 0 else max(0.0, 1 - abs(a[1] - b[1]) / (w.time_window_s * 1e6))
+        if a[2] is None or b[2] is None:
+            total = (w.name * s + w.time * near) / (w.name + w.time)
+        else:
+            d = (a[2] ^ b[2]).bit_count()
+            total = w.name * s + w.time * near + w.image * (1.0 if d <= 10 else 0.0 if d >= 26 else 1 - (d - 10) / 16)
+            if d > 26:
+                if s == 1.0 and total >= w.threshold and r.random() < 0.3:
+                    listed[i, j] = total
+                total = listed.get((i, j), 0.0)
+        if total >= w.threshold:
+            every[i, j] = total
+    pairs = list(itertools.combinations(range(len(files)), 2))
+    some = r.sample(pairs, min(len(pairs), r.choice([1, 6, 60])))
+    together = {p for p in some if r.random() < 0.3}
+    apart = set(some) - together
+    edges = sorted((p for p in listed if p not in together), key=lambda p: (-listed[p], p))
+    ints = lambda ps: np.array(sorted(ps), np.int64).reshape(-1, 2)
+    name, at = np.array([f[0] for f in files], np.int64), np.array([f[1] for f in files], np.int64)
+    seen = np.array([f[2] is not None for f in files])
+    similar = tuple(np.array(c) for c in zip(*((a, b, score(a, b)) for a in range(names) for b in range(names) if score(a, b)), strict=True))
+    bits = np.array([f[2] or 0 for f in files], np.uint64).view(np.int64)
+    got, refused = unions.nearest_union(
+        name, at, seen, similar, grouping._plain_total(w), lambda s: grouping._widest(s, w, -1), w.threshold, int(w.time_window_s * 1e6), np.array(edges, np.int64).reshape(-1, 2),
+        np.array([listed[p] for p in edges], float), ints(apart), ints(together), grouping._similar_looks(name, bits, seen, similar, w),
+    )
+    want, want_refused = plain_clusters([(i, j, s) for (i, j), s in every.items()], together, apart, range(len(files)))
+    assert got.tolist() == [want[i] for i in range(len(files))] and refused == want_refused
+
+
 def test_many_files_of_one_name_with_decisions_make_no_pairs():
     """40,000 files, 800 million links: each two of 50 files in a row of time are kept apart."""
     n = 40_000
@@ -344,6 +390,17 @@ def test_clusters_equal_all_pairs(spark, seed):
     assert sum(x["refused"] for x in got) == refused
 
 
+def test_clusters_of_pictures_list_no_pairs(spark, monkeypatch):
+    """300 files of one picture at three instants, of which the second's join the third's as two files are kept apart."""
+    rows = [(f"/w/f{i:03}.psd", 1, "poster", at(0) + dt.timedelta(minutes=i % 3), 5) for i in range(300)]
+    cands = spark.createDataFrame(rows, "path string, asset_id long, name string, modified_at timestamp_ntz, bits long")
+    decisions = spark.createDataFrame([("/w/f000.psd", "/w/f001.psd", "apart")], "path_a string, path_b string, decision string")
+    monkeypatch.delattr(grouping, "_pairs")
+    got = grouping.clusters(cands, decisions).collect()
+    assert all(x["cluster"] == ("/w/f000.psd" if int(x["path"][4:7]) % 3 == 0 else "/w/f001.psd") for x in got) and len(got) == 300
+    assert sum(x["refused"] for x in got) == 100 * 200
+
+
 SEVEN = ["poster-kampus.psd", "poster kampus final.psd", "poster_kampus_fix.psd", "poster kampus revisi 3.psd", "Poster Kampus FINAL ASLI.psd", "poster_kampus_v2 (1).psd", "poster-kampus-20260909.psd"]
 
 
