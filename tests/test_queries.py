@@ -149,3 +149,18 @@ def test_score_pairs_within_reach_equal_all_pairs(spark):
         parts = similarity.score(*(F.col(f"{x}_{s}") for x in ("name", "modified_at", "bits", "path") for s in "ab"), w)
         want = a.crossJoin(b).where("path_a < path_b").where((F.col("name_a").isNotNull() & F.col("name_b").isNotNull()) & (parts["total"] >= w.threshold)).select("path_a", "path_b", *(v.alias(k) for k, v in parts.items()))
         assert Counter(map(tuple, grouping.scored_pairs(cands, w).select(columns).collect())) == Counter(map(tuple, want.select(columns).collect())), w
+
+
+def test_files_are_copied_only_as_common_names_ask_for(spark, monkeypatch):
+    copies = []
+    monkeypatch.setattr(grouping, "paired", lambda a, b, keys, slices, own: copies.append((keys, slices)) or paired(a, b, keys, slices, own))
+
+    def slices_of(names, each):
+        copies.clear()
+        rows = [(f"/{name}/{k}.psd", 1, name, datetime(2026, 9, 9) + timedelta(days=k), None) for name in names for k in range(each)]
+        cands = spark.createDataFrame(rows, "path string, asset_id long, name string, modified_at timestamp_ntz, bits long")
+        assert grouping.scored_pairs(cands).count() == len(names) * each * (each - 1) // 2
+        return {len(keys): slices for keys, slices in copies[:2]}
+
+    assert slices_of(["rose"], 40)[1] == 8
+    assert slices_of([c * 6 for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"], 4) == {1: 2, 2: 1}
