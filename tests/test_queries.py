@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folio import catalog_queries
-from folio.functions import similarity
+from folio.functions import similarity, text
 from folio.operators import grouping
 from folio.plans.pairs import paired
 from folio.schema import Weights
@@ -164,3 +164,23 @@ def test_files_are_copied_only_as_common_names_ask_for(spark, monkeypatch):
 
     assert slices_of(["rose"], 40)[1] == 8
     assert slices_of([c * 6 for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"], 4) == {1: 2, 2: 1}
+
+
+def test_near_files_are_copied_to_two_stretches_without_folders(spark, monkeypatch):
+    sides = []
+    monkeypatch.setattr(grouping, "paired", lambda a, b, *rest: sides.append((a, b)) or paired(a, b, *rest))
+    # these names link within two hours
+    rows = [(f"/{name}/{k}.psd", 1, name, datetime(2026, 9, 9) + timedelta(minutes=37 * k), None) for name in ("aaaaaabbbb", "aaaaaacccc") for k in range(200)]
+    cands = spark.createDataFrame(rows, "path string, asset_id long, name string, modified_at timestamp_ntz, bits long")
+    assert grouping.scored_pairs(cands).where("name_score < 1").count() == sum(abs(i - j) * 37 <= 120 for i in range(200) for j in range(200))
+    left, right = sides[1]
+    assert right.count() == 200 and left.count() <= 2.1 * 200
+    for left, right in sides:
+        assert {c for c, kind in left.dtypes + right.dtypes if kind == "string"} <= {"path_a", "path_b", "name_b"}
+
+
+def test_folders_from_their_lengths(spark):
+    paths = ["", "/", "a", ".a", "./a", "/a", "//a", "/a/b", "a/b/", "a//b", "a\nb/c", "ä/ß/x.psd", "\U0001f339/x", ".", "..", None]
+    df = spark.createDataFrame([(p,) for p in paths], "path string").withColumn("n", text.dir_length(F.col("path")))
+    got = df.select(text.dir_of_length(F.col("path"), F.col("n")), text.dir_name(F.col("path"))).collect()
+    assert [r[0] for r in got] == [r[1] for r in got]
